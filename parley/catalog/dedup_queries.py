@@ -129,8 +129,8 @@ def split_documents(spark, sf_dir):
 
 
 @query("vector_norms", """
-  SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), x -> x * x))), 6)
-    AS norm FROM embeddings""")
+  WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM e""")
 def vector_norms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"))

@@ -82,8 +82,8 @@ def with_service_count(df: DataFrame, n: int | None = None, more_than: int | Non
 def above_two_sigma(df: DataFrame, column: str) -> DataFrame:
     """Add ``threshold`` (mean + 2 sample standard deviations) and ``is_outlier``."""
     limit = df.agg((F.avg(column) + 2 * F.stddev_samp(column)).alias("threshold"))
-    # one row: a broadcast constant next to every row
-    return df.join(F.broadcast(limit)).withColumn("is_outlier", F.col(column) > F.col("threshold"))
+    return df.withColumn("threshold", limit.scalar()).withColumn(
+        "is_outlier", F.col(column) > F.col("threshold"))
 
 
 def flagged_only(moderated: DataFrame) -> DataFrame:

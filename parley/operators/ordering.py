@@ -146,3 +146,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], position: str) -> DataFram
     rest = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(position)).alias("_row"))
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row of ``df`` (a scalar subquery, no join)."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return df.withColumn("_s", packed).select(*df.columns, "_s.*")

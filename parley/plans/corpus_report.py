@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parley import vocab
 from parley.functions.text import words
-from parley.operators.ordering import first_per_key
+from parley.operators.ordering import beside, first_per_key
 
 SLOT = "time_slot.description"
 
@@ -70,7 +70,7 @@ def metadata(dialogues: DataFrame) -> DataFrame:
         F.countDistinct("dialogue_id").alias("total_dialogues"),
         F.sum(F.size("turns")).alias("total_turns"),
     )
-    return totals.join(F.broadcast(kinds))  # one row each
+    return beside(totals, kinds)
 
 
 def single_service_counts(dialogues: DataFrame) -> DataFrame:
@@ -213,8 +213,8 @@ def intent_counts(dialogues: DataFrame) -> DataFrame:
 def top_intents(dialogues: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent intents, with the number of distinct intents beside them."""
     counts = intent_counts(dialogues)
-    distinct = counts.agg(F.count("*").alias("distinct_intents"))
-    return top(counts, "intent", "n", k).join(F.broadcast(distinct))  # k rows and one row
+    return top(counts, "intent", "n", k).withColumn(
+        "distinct_intents", counts.agg(F.count("*")).scalar())
 
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
