@@ -63,9 +63,7 @@ def has_nested_tags(text: Column, literal: bool = False) -> Column:
     for name in TAG_NAMES:
         tag = f"<{name}>"
         inner = F.regexp_extract_all(text, F.lit(f"(?s)<{name}>(.*?)</{name}>"), F.lit(1))
-        hit = F.array_contains(inner, tag) if literal else F.exists(
-            inner, lambda part, tag=tag: part.contains(tag)
-        )
+        hit = F.array_contains(inner, tag) if literal else F.array_join(inner, "\n").contains(tag)
         found = found | hit
     return F.coalesce(found, F.lit(False))
 

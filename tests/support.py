@@ -23,13 +23,10 @@ def _plain(v):
     if isinstance(v, bool) or v is None or isinstance(v, str):
         return v
     if isinstance(v, float):
-        return None if math.isnan(v) else v
+        return None if math.isnan(v) else f"{v:.12g}f"  # a float never equals an integer
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
-    try:
-        return float(v) if not isinstance(v, int) else v
-    except (TypeError, ValueError):
-        return str(v)
+    return v if isinstance(v, int) else str(v)
 
 
 def normal(columns, rows):
