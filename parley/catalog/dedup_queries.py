@@ -32,11 +32,15 @@ def documents_as_turns(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("turns", F.array(turn))
 
 
-def greedy_sql(rows: str, final: str, fixed: str = "false") -> str:
-    """SQL for greedy survivors: ``rows`` gives (id, v) and flags rows that always survive."""
+def greedy_sql(rows: str, final: str, fixed: str = "false", first: str | None = None) -> str:
+    """SQL for greedy survivors of ``rows`` = (id, v).
+
+    ``fixed`` tells which rows always survive, ``first`` which are visited before the others.
+    """
+    first = first or fixed
     return f"""
   WITH RECURSIVE src AS ({rows}),
-  numbered AS (SELECT *, row_number() OVER (ORDER BY {fixed} DESC, id) AS rn FROM src),
+  numbered AS (SELECT *, row_number() OVER (ORDER BY {first} DESC, id) AS rn FROM src),
   earlier AS (
     SELECT b.rn, list(a.rn) AS near FROM numbered a JOIN numbered b
       ON a.rn < b.rn AND list_cosine_similarity(a.v, b.v) >= {THRESHOLD} GROUP BY b.rn),

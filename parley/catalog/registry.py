@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def load() -> None:
     """Import every module that registers queries."""
     from parley.catalog import (  # noqa: F401
-        corpus_queries, dedup_queries, metric_queries, sampling_queries, text_queries,
+        corpus_queries, dedup_queries, metric_queries, sampling_queries, stage_queries, text_queries,
     )

@@ -35,21 +35,27 @@ def draw_from(key: Column, seed: str, items: Column) -> Column:
     return F.get(items, draw_below(key, seed, F.size(items)).cast("int"))
 
 
+def weight_edges(weights: Sequence[tuple[str, float]]) -> list[tuple[str, int]]:
+    """Upper edge of each label's share of the 32-bit draws."""
+    total = sum(w for _, w in weights)
+    edges, reached = [], 0.0
+    for label, weight in weights:
+        reached += weight
+        edges.append((label, round(reached / total * _SPAN)))
+    return edges
+
+
 def draw_weighted(key: Column, seed: str, weights: Sequence[tuple[str, float]]) -> Column:
     """Label drawn with the given weights, first label first on the unit interval.
 
     Edges are compared as integers, so they do not depend on float addition.
     """
-    total = sum(w for _, w in weights)
     drawn = draw_int(key, seed)
-    choice = None
-    reached = 0.0
-    for label, weight in weights[:-1]:
-        reached += weight
-        edge = round(reached / total * _SPAN)
-        choice = F.when(drawn < edge, label) if choice is None else choice.when(drawn < edge, label)
-    last = F.lit(weights[-1][0])
-    return last if choice is None else choice.otherwise(last)
+    choice = F
+    for label, edge in weight_edges(weights)[:-1]:
+        choice = choice.when(drawn < edge, label)
+    last = weights[-1][0]
+    return F.lit(last) if choice is F else choice.otherwise(last)
 
 
 def draw_range(key: Column, seed: str, low: float, high: float) -> Column:
