@@ -208,9 +208,14 @@ def write_turns(values: dict, number: int) -> tuple[str, int]:
             raise RuntimeError("service unavailable")
         return "no tags here", 10
     words = values["user"].split()
+    start = int(hashlib.md5(values["user"].encode()).hexdigest()[:8], 16)
+
+    def some(i: int) -> str:
+        return " ".join(words[(start + 7 * i + j) % len(words)] for j in range(6))
+
     return "\n".join(
-        f"<User>{words[i % len(words)]} {digit}</User> <Intent>intent_{digit}</Intent> "
-        f"<Assistant>{words[-1 - i % len(words)]}</Assistant>" for i in range(digit % 4 + 1)), 100
+        f"<User>{some(i)}</User> <Intent>intent_{digit}</Intent> <Assistant>{some(i + 50)}</Assistant>"
+        for i in range(digit % 4 + 1)), 100
 
 
 DIGIT_SQL = """p AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS user
@@ -286,27 +291,32 @@ def stream_unique_vectors(spark, sf_dir):
     return ingest.read_accepted(spark, target, schema).select("vec_id")
 
 
-CLEANUP_SQL = greedy_sql(f"""
+_STATE_SQL = f"""
     WITH {DIALOGUES_SQL},
     member AS (SELECT dialogue_id, row_number() OVER (ORDER BY md5(dialogue_id || ':42'), dialogue_id)
-                 AS r, count(*) OVER () AS n FROM dialogues
+                 AS r, count(*) OVER () AS n
+               FROM dialogues JOIN embeddings ON vec_id = conv_id
                WHERE list_sort(list_distinct(services)) = ['attraction', 'restaurant']),
     rogue AS (SELECT dialogue_id, bool_or(regexp_matches(utterance || ' x ' || assistant_response,
                 '<([^A-Za-z]|$)|(^|[^A-Za-z])>')) AS rogue FROM turns GROUP BY 1)
-    SELECT d.conv_id AS id, CAST(e.embedding AS DOUBLE[]) AS v, d.dialogue_id, d.num_lines
+    SELECT d.conv_id AS id, CAST(e.embedding AS DOUBLE[]) AS v, d.dialogue_id, d.num_lines,
+           CASE WHEN r <= n // 2 THEN 'thinned' WHEN rogue THEN 'brackets' END AS out
     FROM dialogues d JOIN embeddings e ON e.vec_id = d.conv_id JOIN rogue USING (dialogue_id)
-    LEFT JOIN member USING (dialogue_id) WHERE coalesce(r > n // 2, true) AND NOT rogue""",
-    """SELECT dialogue_id, CASE WHEN rn NOT IN (SELECT rn FROM survivors) THEN 'semantic'
-         WHEN num_lines <= 2 THEN 'short' ELSE 'kept' END AS outcome FROM numbered""")
+    LEFT JOIN member USING (dialogue_id)"""
+
+CLEANUP_SQL = greedy_sql(
+    f"SELECT * FROM ({_STATE_SQL}) WHERE out IS NULL",
+    f"""SELECT dialogue_id, CASE WHEN rn NOT IN (SELECT rn FROM survivors) THEN 'semantic'
+          WHEN num_lines <= 2 THEN 'short' ELSE 'kept' END AS outcome FROM numbered
+        UNION ALL SELECT dialogue_id, out FROM ({_STATE_SQL}) WHERE out IS NOT NULL""")
 
 
 @query("corpus_cleanup", CLEANUP_SQL)
 def corpus_cleanup(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
     corpus = dialogues(spark, sf_dir).join(vectors, "conv_id")
-    decided = cleanup.outcomes(corpus, position="conv_id", vector="embedding", threshold=THRESHOLD,
-                               min_lines=2)
-    return decided.where("outcome not in ('thinned', 'brackets')")
+    return cleanup.outcomes(corpus, position="conv_id", vector="embedding", threshold=THRESHOLD,
+                            min_lines=2)
 
 
 def write_scenario(values: dict, number: int) -> tuple[str, int]:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley import vocab
 from parley.session import cut
 
 HOT_ROWS = 1_000_000  # a key is worth separate treatment only beyond this many rows
+SMALL_ROWS = 200_000  # most rows of a table that goes to every task
+SMALL_BYTES = 64 * 1024 * 1024
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], least: int = HOT_ROWS) -> DataFrame:
@@ -18,21 +21,47 @@ def hot_keys(df: DataFrame, keys: Sequence[str], least: int = HOT_ROWS) -> DataF
     return df.groupBy(*keys).count().where(F.col("count") >= least).select(*keys)
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Estimated bytes of a row: measured for text and nested columns, fixed for the rest."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        kind = field.dataType
+        column = F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            total = total + F.coalesce(F.size(column), F.lit(0)) * 8 + 32
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.length(F.to_json(F.struct(column))), F.lit(0)) + 64
+        else:
+            total = total + 16
+    return total
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """Whether ``df`` may go to every task: both its rows and their bytes are counted."""
+    counted = df.select(_row_bytes(df).alias("b")).limit(rows + 1).agg(F.count("*"), F.sum("b")).first()
+    return counted[0] <= rows and (counted[1] or 0) <= size
+
+
 def lookup(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner",
-           least: int = HOT_ROWS) -> DataFrame:
+           least: int = HOT_ROWS, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Join ``df`` with ``other``, which has at most one row per key.
 
-    Rows of hot keys meet ``other`` by broadcast: there are at most rows / ``least`` such keys,
-    so that side is small by count. All other rows take the ordinary shuffle join.
+    A counted-small ``other`` is broadcast. Otherwise rows of hot keys meet it by broadcast: there
+    are at most rows / ``least`` such keys, so that part of it is small by count; all other rows
+    take the ordinary shuffle join.
     """
     keys = list(keys)
+    if is_small(other, small_rows):
+        return df.join(F.broadcast(other), keys, how)
     hot = cut(hot_keys(df, keys, least))
     if hot.isEmpty():
         return df.join(other, keys, how)
-    matched = F.broadcast(other.join(F.broadcast(hot), keys, "left_semi"))
+    matched = other.join(F.broadcast(hot), keys, "left_semi")
     hot = F.broadcast(hot)
     return (
-        df.join(hot, keys, "left_semi").join(matched, keys, how)
+        df.join(hot, keys, "left_semi").join(F.broadcast(matched), keys, how)
         .unionByName(df.join(hot, keys, "left_anti").join(other, keys, how))
     )
 

@@ -61,22 +61,14 @@ def with_group_position(
     bounds = placed.groupBy(group).agg(
         F.min("_global").alias("_first"), F.count("*").alias(f"{name}_size")
     )
+    from parley.operators.joins import lookup
+
     return (
-        join_small(placed, bounds, [group])
+        lookup(placed, bounds, [group])
         .withColumn(name, F.col("_global") - F.col("_first")).drop("_global", "_first")
     )
 
 
-def join_small(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner",
-               limit: int = 200_000) -> DataFrame:
-    """Join with a table of one row per key: broadcast when counted small, else hot keys apart."""
-    from parley.operators.joins import lookup
-
-    if other.limit(limit + 1).count() <= limit:
-        return df.join(F.broadcast(other), keys, how)
-    return lookup(df, other, keys, how)
-
-
 def over_recent_rows(
     df: DataFrame, position: str, reach: int, compute: Callable[[Window], dict[str, Column]],
     block_rows: int = 50_000,

@@ -12,7 +12,7 @@ from parley.functions.draws import (
     draw_below, draw_from, draw_hash, draw_unit, draw_weighted, shuffled, slot_time,
 )
 from parley.operators.joins import lookup
-from parley.operators.ordering import join_small, with_group_position, with_position
+from parley.operators.ordering import with_group_position, with_position
 
 
 def draws(df: DataFrame, key: str, seed: str, bound: int, name: str = "pick") -> DataFrame:
@@ -61,7 +61,7 @@ def stratified_sample(
     big = extra * (quota + 1)
     which = F.when(i < big, F.floor(i / (quota + 1))).otherwise(
         F.lit(extra) + F.floor((i - big) / max(quota, 1)))
-    wanted = join_small(request_table(population, n).withColumn("_g", which), groups, ["_g"])
+    wanted = lookup(request_table(population, n).withColumn("_g", which), groups, ["_g"])
     wanted = wanted.withColumn("_p", draw_below(F.col("request"), seed, F.col("_p_size"))).drop(
         "_g", "_p_size")
     drawn = lookup(wanted, placed.drop("_p_size"), [group, "_p"]).drop("_p")
@@ -187,7 +187,7 @@ def pick_personas(
     chosen = requests.withColumn("by", coin).withColumn("_g", F.when(
         F.col("by") == "cluster", draw_below(k, f"{seed}:group", F.lit(counts.get("cluster", 1)))
     ).otherwise(draw_below(k, f"{seed}:group", F.lit(counts.get("summary", 1)))))
-    chosen = join_small(chosen, groups.drop("_g_size"), ["by", "_g"])
+    chosen = lookup(chosen, groups.drop("_g_size"), ["by", "_g"])
     chosen = chosen.withColumn("_m", draw_below(k, f"{seed}:member", F.col("_m_size")))
     found = lookup(chosen.drop("_m_size", "_g"), members.select("_group", "_m", "_idx"),
                    ["_group", "_m"])

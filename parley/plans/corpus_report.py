@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley import vocab
@@ -105,10 +105,11 @@ def combination_counts(dialogues: DataFrame, sizes: Iterable[int] = (2, 3, 4)) -
         F.size("services").alias("n_services"),
         F.array_join(F.array_sort("services"), "+").alias("combination"),
     ).agg(F.count("*").alias("dialogues"))
-    totals = F.broadcast(counted.groupBy("n_services").agg(F.sum("dialogues").alias("_all")))
-    return counted.join(totals, "n_services").withColumn(
-        "pct", F.bround(F.col("dialogues") / F.col("_all") * 100, 1)
-    ).drop("_all").orderBy("n_services", "dialogues", "combination")
+    # a window over counts, one row per combination of a size
+    same_size = F.sum("dialogues").over(Window.partitionBy("n_services"))
+    return counted.withColumn(
+        "pct", F.bround(F.col("dialogues") / same_size * 100, 1)
+    ).orderBy("n_services", "dialogues", "combination")
 
 
 def emotion_counts(dialogues: DataFrame, grain: str = "turn") -> DataFrame:
