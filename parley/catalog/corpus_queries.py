@@ -51,18 +51,19 @@ def base_conversation_hash(spark, sf_dir):
 
 
 @query("seed_turn_zip", f"""
-  SELECT conv_id, turn AS turn_id, {SPEAKER_SQL} AS speaker, text AS utterance
-  FROM conversations
-  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn)
-          <= count(*) OVER (PARTITION BY conv_id) - conv_id % 2""")
+  WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+  u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i
+        FROM conversations WHERE role <> 'system')
+  SELECT r.conv_id, r.turn AS turn_id, {SPEAKER_SQL} AS speaker, u.text AS utterance
+  FROM r JOIN u USING (conv_id, i)""")
 def seed_turn_zip(spark, sf_dir):
-    # odd conversations lose their last utterance, so the arrays differ in length
+    # system rows have no utterance here, so the arrays differ in length
     speaker = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(
-        F.collect_list(F.struct("turn", speaker.alias("speaker"), "text"))).alias("seq"))
+        F.collect_list(F.struct("turn", speaker.alias("speaker"), "role", "text"))).alias("seq"))
     seeds = rows.select("conv_id", F.struct(
         F.col("seq.turn").alias("turn_id"), F.col("seq.speaker").alias("speaker"),
-        F.slice(F.col("seq.text"), F.lit(1), F.size("seq") - (F.col("conv_id") % 2).cast("int"))
+        F.transform(F.filter("seq", lambda x: x["role"] != "system"), lambda x: x["text"])
         .alias("utterance"),
     ).alias("turns"))
     return seeds.select("conv_id", F.inline(shape.zip_seed_turns(F.col("turns"))))

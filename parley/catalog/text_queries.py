@@ -297,7 +297,8 @@ def entity_texts(spark, sf_dir):
         F.col("dialogue_id").alias("text_id"), F.col("generated_scenario").alias("text")))
 
 
-PATTERNS = {**entities.PATTERNS, "CARDINAL": r"\b[0-9]+\b"}
+CARDINAL = {"CARDINAL": r"[0-9]+"}
+PATTERNS = entities.PATTERNS | CARDINAL
 
 
 @query("entity_mentions", over_dialogues(f""", {ENTITY_TEXTS_SQL}, hits AS ({' UNION ALL '.join(
@@ -305,7 +306,7 @@ PATTERNS = {**entities.PATTERNS, "CARDINAL": r"\b[0-9]+\b"}
     for label, p in PATTERNS.items())})
   SELECT text_id, label, entity, count(*) AS n FROM hits GROUP BY 1, 2, 3"""))
 def entity_mentions(spark, sf_dir):
-    hits = entities.extract(entity_texts(spark, sf_dir), ["text_id"], "text", PATTERNS)
+    hits = entities.extract(entity_texts(spark, sf_dir), ["text_id"], "text", CARDINAL)
     return hits.groupBy("text_id", "label", "entity").agg(F.count("*").alias("n"))
 
 

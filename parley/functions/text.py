@@ -15,10 +15,12 @@ TAG_NAMES = ["User", "Intent", "Assistant"]
 
 MISSING = "N/A"
 
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def _captures(text: Column, group: int) -> Column:

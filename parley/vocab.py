@@ -136,22 +136,26 @@ COMBINATIONS = {
 }
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def strings(values: list[str]) -> Column:
     """Array literal of strings."""
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(f"array({', '.join(_text(v) for v in values)})")
 
 
 def combinations_of(size_class: str) -> Column:
     """Array literal holding the service combinations of one size class."""
-    return F.array(*[strings(c) for c in COMBINATIONS[size_class]])
+    items = (f"array({', '.join(_text(s) for s in c)})" for c in COMBINATIONS[size_class])
+    return F.expr(f"array({', '.join(items)})")
 
 
 def slot_structs() -> Column:
     """Array literal of time-slot structs."""
-    return F.array(*[
-        F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(d).alias("description"))
-        for a, b, d in TIME_SLOTS
-    ])
+    items = (f"named_struct('start', {a}, 'end', {b}, 'description', {_text(d)})"
+             for a, b, d in TIME_SLOTS)
+    return F.expr(f"array({', '.join(items)})")
 
 
 def category_table(spark: SparkSession) -> DataFrame:
