@@ -51,13 +51,14 @@ def seeds_from_rows(rows: DataFrame) -> DataFrame:
 
 def split_time_slot(slot: Column) -> list[Column]:
     """Time slot as text, list or object form -> start, end and description columns."""
+    is_list = F.ltrim(slot).startswith("[")
+    items = F.from_json(slot, "array<string>")
+    fields = F.from_json(slot, "struct<start:string,end:string,description:string>")
+
     def part(name: str, i: int) -> Column:
-        return F.coalesce(F.get_json_object(slot, f"$.{name}"), F.get_json_object(slot, f"$[{i}]"))
+        return F.when(is_list, F.get(items, F.lit(i))).otherwise(fields[name]).alias(f"time_slot_{name}")
 
-    return [
-        part("start", 0).alias("time_slot_start"), part("end", 1).alias("time_slot_end"),
-        part("description", 2).alias("time_slot_description"),
-    ]
+    return [part("start", 0), part("end", 1), part("description", 2)]
 
 
 def flatten_dialogues(dialogues: DataFrame, strict: bool = True) -> DataFrame:
