@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.operators.joins import lookup
 from parley.session import cut
 
 BLOCK_ROWS = 4096  # rows of one side in one block
@@ -103,12 +104,17 @@ def pick_pivots(vectors: DataFrame, cells: int) -> Pivots:
     return Pivots(fetch_matrix(picked)[0])
 
 
-def train_pivots(vectors: DataFrame, cells: int, rounds: int = 8, seed: int = 42) -> Pivots:
-    """k-means centres of at most 256 training rows per cell (for approximate search)."""
+def train_pivots(vectors: DataFrame, cells: int, rows: int, rounds: int = 8, seed: int = 42) -> Pivots:
+    """k-means centres from about 256 training rows per cell (for approximate search).
+
+    ``rows`` is the table's size; the training rows stay spread over its partitions.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    training = vectors.orderBy(F.xxhash64("id"), "id").limit(256 * cells).select(
+    parts = 1_000_000
+    share = min(parts, math.ceil(256 * cells / max(rows, 1) * parts))
+    training = vectors.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < share).select(
         array_to_vector("vec").alias("features"))
     model = KMeans(k=cells, maxIter=rounds, seed=seed).fit(training)
     centres = np.vstack(model.clusterCenters())
@@ -130,9 +136,7 @@ def place(vectors: DataFrame, pivots: Pivots) -> DataFrame:
     schema = _schema_with(vectors, ("cell", T.IntegerType()), ("angle", T.DoubleType()))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches):
             angles = _angles(to_matrix(batch["vec"]), shared.value)
             cell = angles.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -144,6 +148,13 @@ def place(vectors: DataFrame, pivots: Pivots) -> DataFrame:
     return cut(vectors.mapInArrow(nearest, schema))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that a matrix of rows x cells stays small too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @dataclass
 class CellStats:
     rows: np.ndarray
@@ -174,9 +185,7 @@ def probe(queries: DataFrame, pivots: Pivots, stats: CellStats, reach: str | Non
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, radius = shared.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches):
             angles = _angles(to_matrix(batch["vec"]), matrix)
             wanted = np.broadcast_to(radius >= 0, angles.shape).copy()
             if reach is not None:
@@ -322,7 +331,7 @@ def _distinct_vectors(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]
     firsts = cut(vectors.groupBy("key").agg(
         F.min("id").alias("rep"), F.min_by("vec", "id").alias("vec"), F.count("*").alias("copies")))
     copied = firsts.where("copies > 1").select("key")
-    ranked = vectors.select("key", "id").join(copied, "key", "left_semi").withColumn(
+    ranked = lookup(vectors.select("key", "id"), copied, ["key"], "left_semi").withColumn(
         "_r", F.row_number().over(Window.partitionBy("key").orderBy("id"))
     ).where(F.col("_r") <= k + 1).drop("_r")
     singles = firsts.where("copies = 1").select("key", F.col("rep").alias("id"))
@@ -384,7 +393,7 @@ def trained_neighbours(vectors: DataFrame, k: int = 50, cells: int = 1000, probe
     n = usable.count()
     if n == 0:
         return nearest_neighbours(usable, k, **search)
-    pivots = train_pivots(usable, max(1, min(cells, math.isqrt(n))))
+    pivots = train_pivots(usable, max(1, min(cells, math.isqrt(n))), n)
     return nearest_neighbours(usable, k, probes=probes, pivots=pivots, **search)
 
 
@@ -394,17 +403,16 @@ def _with_copies(best: DataFrame, vectors: DataFrame, reps: DataFrame, members:
 
     A row's answer needs at most k + 1 ids of any copy group, its own included.
     """
-    groups = members.join(reps.select("key", "rep"), "key").select("rep", "id")
+    groups = members.join(reps.select("key", "rep"), "key").groupBy(F.col("rep").alias("nbr")).agg(
+        F.collect_list("id").alias("ids"))  # at most k + 1 ids each
     own = reps.select(F.col("rep"), F.col("rep").alias("nbr"), F.lit(1.0).alias("sim"))
     options = best.select(F.col("id").alias("rep"), "nbr", "sim").unionByName(own)
-    expanded = options.join(
-        groups.select(F.col("rep").alias("nbr"), F.col("id").alias("member")), "nbr"
-    ).select("rep", F.col("member").alias("nbr"), "sim")
+    expanded = lookup(options, groups, ["nbr"]).select("rep", F.explode("ids").alias("nbr"), "sim")
     ranked = expanded.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy(
         F.desc(F.round("sim", 12)), "nbr"))).where(F.col("_r") <= k + 1).drop("_r")
     lists = ranked.groupBy("rep").agg(F.collect_list(F.struct("nbr", "sim")).alias("found"))
-    rows = vectors.select("id", "key").join(reps.select("key", "rep"), "key").select("id", "rep")
-    answers = rows.join(lists, "rep").select("id", F.inline("found")).where("id <> nbr")
+    rows = lookup(vectors.select("id", "key"), reps.select("key", "rep"), ["key"]).select("id", "rep")
+    answers = lookup(rows, cut(lists), ["rep"]).select("id", F.inline("found")).where("id <> nbr")
     return keep_nearest(answers, k).select("id", "nbr", "sim", "rank")
 
 
@@ -429,15 +437,17 @@ def earlier_witness(
     pivots: Pivots | None = None, cells: int | None = None, small_values: int = SMALL_VALUES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(id, nbr, sim): for each query one candidate of smaller id at or above the threshold.
+    """(id, nbr, sim, firm): a candidate of smaller id at or above the threshold for each query.
 
-    Candidates may carry ``settled``; a settled witness is preferred. Queries without any witness
-    have no row.
+    Candidates may carry ``settled``; a settled witness is preferred and told by ``firm``. A query
+    without any witness has no row; one searched in several blocks may have several.
     """
     task = {"mode": "earlier", "threshold": float(threshold)}
     dimension = dimension_of(candidates)
-    if fits(candidates, dimension, small_values) and probes is None:
+    if probes is None and small_values and fits(candidates, dimension, small_values):
         return against_small(queries, candidates.toArrow(), task)
+    if dimension == 0:
+        return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
     if pivots is None:
         pivots = pick_pivots(candidates.select("id", "vec"), cells or default_cells(candidates.count()))
     placed = candidates if "cell" in candidates.columns else place(candidates, pivots)
@@ -446,10 +456,3 @@ def earlier_witness(
     visits = cut(probe(queries.select("id", "vec").withColumn("reach", F.lit(angle)),
                        pivots, stats, "reach", probes).drop("reach"))
     return in_blocks(visits, placed.drop("angle"), stats, task, block_rows)
-
-
-def fold_witnesses(hits: DataFrame) -> DataFrame:
-    """One witness per query out of several blocks: a settled one first, then the smallest id."""
-    return hits.groupBy("id").agg(F.min(F.struct(
-        (~F.col("firm")).alias("open"), F.col("nbr"))).alias("w")).select(
-        "id", F.col("w.nbr").alias("nbr"), (~F.col("w.open")).alias("firm"))

@@ -43,11 +43,21 @@ def greedy_survivors(
         waiting = sim.place(waiting, pivots)
         kept = [sim.place(k, pivots) for k in kept]
     leaders = min(leaders, max(1, sim.SMALL_VALUES // max(dimension, 1)))
+    search = {"probes": probes, "pivots": pivots, "block_rows": block_rows}
+    fresh = kept[-1] if kept else None
     while not waiting.isEmpty():
-        found = _witnesses(waiting, _pool(waiting, kept), threshold, pivots, probes, block_rows, leaders)
-        judged = _judge(waiting, found)
-        waiting = judged.where("status = 'waiting'").drop("status")
-        kept.append(judged.where("status = 'kept'").drop("status"))
+        if pivots is None:
+            judged = _judge(waiting, cut(sim.earlier_witness(waiting, _pool(waiting, kept), threshold)))
+            waiting = judged.where("status = 'waiting'").drop("status")
+            kept.append(judged.where("status = 'kept'").drop("status"))
+            continue
+        if fresh is not None:
+            near = sim.earlier_witness(waiting, fresh, threshold, small_values=small_values, **search)
+            waiting = cut(waiting.join(near.select("id").distinct(), "id", "left_anti"))
+        blocked = _blocked(waiting, threshold, leaders, search)
+        fresh = cut(waiting.join(blocked, "id", "left_anti"))
+        waiting = cut(waiting.join(blocked, "id", "left_semi"))
+        kept.append(fresh)
     survivors = None
     for part in kept:
         part = part.where("id >= 0").select("id", F.lit(True).alias("kept"))
@@ -68,21 +78,18 @@ def _pool(waiting: DataFrame, kept: list[DataFrame]) -> DataFrame:
     return pool
 
 
-def _witnesses(waiting, pool, threshold, pivots, probes, block_rows, leaders) -> DataFrame:
-    """(id, nbr, firm): an earlier near row for each waiting row that has one."""
-    if pivots is None:
-        return cut(sim.earlier_witness(waiting, pool, threshold).drop("sim"))
+def _blocked(waiting: DataFrame, threshold: float, leaders: int, search: dict) -> DataFrame:
+    """Ids of the waiting rows that have a near earlier row among the waiting ones."""
     # The earliest waiting row of each cell, and the earliest of all, settle large groups of near
     # copies without a full search: such a group spans many cells and every member follows a head.
     heads = waiting.groupBy("cell").agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec"))
     heads = heads.select("id", "vec").unionByName(
         waiting.orderBy("id").limit(leaders).select("id", "vec"))
     task = {"mode": "earlier", "threshold": float(threshold)}
-    early = cut(sim.against_small(waiting, heads.toArrow(), task))
-    rest = waiting.join(early.select("id"), "id", "left_anti")
-    late = sim.earlier_witness(rest, pool, threshold, probes=probes, pivots=pivots, small_values=0,
-                               block_rows=block_rows)
-    return cut(sim.fold_witnesses(late).unionByName(early.drop("sim")))
+    early = cut(sim.against_small(waiting, heads.toArrow(), task).select("id").distinct())
+    rest = waiting.join(early, "id", "left_anti")
+    late = sim.earlier_witness(rest, waiting, threshold, small_values=0, **search)
+    return cut(late.select("id").distinct().unionByName(early))
 
 
 def _judge(waiting: DataFrame, found: DataFrame) -> DataFrame:

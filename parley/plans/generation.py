@@ -10,7 +10,7 @@ from parley.functions import prompts, text
 from parley.functions.hashing import fingerprint
 from parley.operators import sampling
 from parley.operators.dedup import append_unique
-from parley.operators.joins import unseen
+from parley.operators.joins import lookup, unseen
 from parley.operators.model_stage import Generate, generate, outcomes
 from parley.operators.shape import base_conversation, with_dialogue_id, zip_seed_turns
 from parley.session import cut
@@ -37,7 +37,7 @@ def plan_requests(seeds: DataFrame, personas: DataFrame, n: int, seed: str, used
     keyed = personas.withColumn("summary_key", F.to_json(text.label_key(F.col("summary_label"))))
     requests = sampling.pick_personas(
         requests, "request", keyed, "cluster_label", "summary_key", "idx", f"{seed}:persona")
-    requests = requests.join(personas.select("idx", "persona"), "idx").drop("idx", "by", "group")
+    requests = lookup(requests, personas.select("idx", "persona"), ["idx"]).drop("idx", "by", "group")
     system, user = prompts.scenario_prompts(
         F.col("persona"), F.col("time"), F.col("time_slot.description"), F.get("regions", F.lit(0)),
         F.col("scenario_category"), F.col("services"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.operators.dedup import append_unique
-from parley.session import cut
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,7 +45,7 @@ def run_unique_vectors(drops: DataFrame, target: str, checkpoint: str, *, key: s
 
     def accept(batch: DataFrame, number: int) -> None:
         known = _accepted(spark, target, schema).where(F.col("batch") < number)
-        known = cut(known.select(F.col(position).alias("id"), F.col(vector).alias("vec"), key))
+        known = known.select(F.col(position).alias("id"), F.col(vector).alias("vec"), key)
         kept = append_unique(batch, known, known.select("id", "vec"), key=key, position=position,
                              vector=vector, threshold=threshold, among_new=among_new, **search)
         kept.write.mode("overwrite").parquet(f"{target}/batch={number}")
