@@ -26,8 +26,8 @@ def draw_unit(key: Column, seed: str) -> Column:
 
 
 def draw_below(key: Column, seed: str, bound: Column) -> Column:
-    """Draw in 0..bound-1."""
-    return F.pmod(draw_int(key, seed), bound.cast("bigint"))
+    """Draw in 0..bound-1; null where there is nothing to draw from."""
+    return F.pmod(draw_int(key, seed), F.nullif(bound.cast("bigint"), F.lit(0)))
 
 
 def draw_from(key: Column, seed: str, items: Column) -> Column:

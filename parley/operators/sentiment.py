@@ -104,5 +104,5 @@ def findings(scored: DataFrame, side: str, user: str = "user", assistant: str =
         F.when(F.col("avg_user") > F.col("avg_assistant"), user).otherwise(assistant)
         .alias("more_positive"),
         usual.alias("usual_category"),
-        (F.col("Neutral") / (F.col("Positive") + F.col("Neutral") + F.col("Negative")) * 100)
+        (F.try_divide(F.col("Neutral"), F.col("Positive") + F.col("Neutral") + F.col("Negative")) * 100)
         .alias("neutral_pct"))

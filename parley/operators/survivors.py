@@ -29,7 +29,9 @@ def greedy_survivors(
     vector are settled first: whatever decides the first one removes the others. ``probes``
     searches that many nearest cells only.
     """
-    rows = vectors.select("id")
+    # a vector without direction resembles nothing, so its row survives
+    pointed = F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
+    rows = vectors.select("id", pointed.alias("pointed"))
     waiting = cut(sim.unit_vectors(vectors).groupBy("key").agg(
         F.min("id").alias("id"), F.min_by("vec", "id").alias("vec")).select("id", "vec"))
     kept = []
@@ -44,10 +46,13 @@ def greedy_survivors(
         kept = [sim.place(k, pivots) for k in kept]
     leaders = min(leaders, max(1, sim.SMALL_VALUES // max(dimension, 1)))
     search = {"probes": probes, "pivots": pivots, "block_rows": block_rows}
+    task = {"mode": "earlier", "threshold": float(threshold)}
     fresh = kept[-1] if kept else None
     while not waiting.isEmpty():
         if pivots is None:
-            judged = _judge(waiting, cut(sim.earlier_witness(waiting, _pool(waiting, kept), threshold)))
+            # all rows were counted to fit, and the rest only shrinks
+            found = sim.against_small(waiting, _pool(waiting, kept).toArrow(), task)
+            judged = _judge(waiting, cut(found.drop("sim")))
             waiting = judged.where("status = 'waiting'").drop("status")
             kept.append(judged.where("status = 'kept'").drop("status"))
             continue
@@ -63,11 +68,9 @@ def greedy_survivors(
         part = part.where("id >= 0").select("id", F.lit(True).alias("kept"))
         survivors = part if survivors is None else survivors.unionByName(part)
     if survivors is None:  # no usable vector at all
-        return rows.withColumn("kept", F.lit(True))
-    # a vector without direction resembles nothing, so its row survives
-    usable = sim.unit_vectors(vectors).select("id", F.lit(True).alias("usable"))
-    return rows.join(survivors, "id", "left").join(usable, "id", "left").select(
-        "id", (F.coalesce("kept", F.lit(False)) | F.col("usable").isNull()).alias("kept"))
+        return rows.select("id", F.lit(True).alias("kept"))
+    return rows.join(survivors, "id", "left").select(
+        "id", (F.coalesce("kept", F.lit(False)) | ~F.col("pointed")).alias("kept"))
 
 
 def _pool(waiting: DataFrame, kept: list[DataFrame]) -> DataFrame:

@@ -87,7 +87,7 @@ def single_vs_multi(dialogues: DataFrame) -> DataFrame:
         F.count_if(size == 1).alias("single_service"),
         F.count_if(size > 1).alias("multi_service"),
     )
-    share = lambda c: F.bround(F.col(c) / F.col("total_dialogues") * 100, 1)
+    share = lambda c: F.bround(F.try_divide(F.col(c), F.col("total_dialogues")) * 100, 1)
     return counted.withColumns({
         "single_pct": share("single_service"), "multi_pct": share("multi_service"),
     })
@@ -201,7 +201,7 @@ def mean_turn_number_by_category(dialogues: DataFrame) -> DataFrame:
                         lambda a, x: a + F.coalesce(x, F.lit(0)))
     present = F.size(F.filter("turns.turn_number", lambda x: x.isNotNull()))
     return _with_turns(dialogues).groupBy("scenario_category").agg(
-        F.bround(F.sum(total) / F.sum(present), 1).alias("avg_turn_number")
+        F.bround(F.try_divide(F.sum(total), F.sum(present)), 1).alias("avg_turn_number")
     )
 
 

@@ -40,9 +40,9 @@ def latency_outliers(metrics: DataFrame) -> DataFrame:
     return marked.agg(
         F.max("threshold").alias("threshold"),
         F.count_if("is_outlier").alias("high_requests"),
-        (F.count_if("is_outlier") / F.count("*") * 100).alias("high_pct"),
+        (F.try_divide(F.count_if("is_outlier"), F.count("*")) * 100).alias("high_pct"),
         high.alias("high_tokens"), normal.alias("normal_tokens"),
-        (high / normal).alias("token_ratio"),
+        F.try_divide(high, normal).alias("token_ratio"),
     )
 
 
@@ -107,7 +107,7 @@ def rolling_latency(metrics: DataFrame, window: int = 50, block_rows: int = 50_0
 def latency_stability(metrics: DataFrame) -> DataFrame:
     return metrics.agg(
         F.stddev_samp(LATENCY).alias("latency_std"), F.avg(LATENCY).alias("latency_mean"),
-        (F.stddev_samp(LATENCY) / F.avg(LATENCY)).alias("latency_cv"),
+        F.try_divide(F.stddev_samp(LATENCY), F.avg(LATENCY)).alias("latency_cv"),
     )
 
 
@@ -149,8 +149,8 @@ def dialogue_length(metrics: DataFrame) -> DataFrame:
 
 def throughput(metrics: DataFrame) -> DataFrame:
     return metrics.agg(
-        (F.count("*") / (F.sum(LATENCY) / 3600)).alias("requests_per_hour"),
-        (F.sum(TOKENS) / F.sum(TURNS)).alias("tokens_per_turn"),
+        F.try_divide(F.count("*"), F.sum(LATENCY) / 3600).alias("requests_per_hour"),
+        F.try_divide(F.sum(TOKENS), F.sum(TURNS)).alias("tokens_per_turn"),
         F.avg(TOKENS).alias("mean_tokens"),
     )
 
@@ -164,7 +164,7 @@ def insights(metrics: DataFrame) -> DataFrame:
         F.avg(LATENCY).alias("mean_latency"), F.min(LATENCY).alias("min_latency"),
         F.max(LATENCY).alias("max_latency"), F.avg(TOKENS).alias("mean_tokens"),
         F.avg(TURNS).alias("mean_turns"),
-        (F.count_if(F.col(RETRIES) > 0) / F.count("*") * 100).alias("retry_rate_pct"),
+        (F.try_divide(F.count_if(F.col(RETRIES) > 0), F.count("*")) * 100).alias("retry_rate_pct"),
         F.min(TOKENS).cast("bigint").alias("min_tokens"),
         F.max(TOKENS).cast("bigint").alias("max_tokens"),
         F.avg(F.when(F.col(TURNS) <= 5, F.col(TOKENS))).alias("short_mean_tokens"),
@@ -190,12 +190,12 @@ def run_summary(attempts: DataFrame) -> DataFrame:
         F.count_if(~F.col("ok")).alias("total_failed_dialogues"),
         F.sum(F.col("attempts") - F.col("ok").cast("int")).alias("total_retries"),
         F.avg(F.when(F.col("ok"), F.col("attempts") - 1)).alias("mean_retries"),
-        (F.sum("latency") / F.sum("attempts")).alias("mean_latency"),
+        F.try_divide(F.sum("latency"), F.sum("attempts")).alias("mean_latency"),
         F.sum("tokens").alias("total_tokens"),
-        (F.sum("tokens") / F.sum("attempts")).alias("mean_tokens"),
+        F.try_divide(F.sum("tokens"), F.sum("attempts")).alias("mean_tokens"),
         F.avg("turns").alias("mean_turns"),
-        (F.count_if("ok") / F.sum("attempts") * 100).alias("success_pct_per_attempt"),
-        (F.count_if("ok") / F.count("*") * 100).alias("success_pct_per_dialogue"),
+        (F.try_divide(F.count_if("ok"), F.sum("attempts")) * 100).alias("success_pct_per_attempt"),
+        (F.try_divide(F.count_if("ok"), F.count("*")) * 100).alias("success_pct_per_dialogue"),
     )
 
 
