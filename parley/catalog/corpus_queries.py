@@ -364,3 +364,11 @@ def batch_numbers(spark, sf_dir):
     ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     return with_position(ids, "conv_id").select(
         "conv_id", F.floor(F.col("pos") / 20).alias("batch"))
+
+
+@query("first_per_group", """
+  SELECT source, lang, doc_id, n_chars FROM documents
+  QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) = 1""")
+def first_per_group(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars")
+    return filters.keep_first(docs, ["source", "lang"], "doc_id")

@@ -28,11 +28,14 @@ def request_table(df: DataFrame, n: int) -> DataFrame:
 def sample_with_replacement(
     population: DataFrame, requests: DataFrame, key: str, seed: str, *order: str
 ) -> DataFrame:
-    """One row of ``population`` for every request; a row may be drawn many times."""
-    placed = with_position(population, *order, name="_pos")
-    size = placed.count()
-    picked = draws(requests, key, seed, max(size, 1), "_pos")
-    return lookup(picked, placed, ["_pos"]).drop("_pos")
+    """One row of ``population`` for every request; a row may be drawn many times.
+
+    Only the order columns, which identify a row, are put in order; the rest joins at the end.
+    """
+    placed = with_position(population.select(*order), *order, name="_pos")
+    picked = draws(requests, key, seed, max(placed.count(), 1), "_pos")
+    picked = lookup(picked, placed, ["_pos"]).drop("_pos")
+    return lookup(picked, population, list(order))
 
 
 def equal_quotas(groups: DataFrame, n: int, *order: str) -> DataFrame:
@@ -52,7 +55,8 @@ def stratified_sample(
     Draw i belongs to the group its number falls to, so no group is expanded from one row.
     Rows carry ``request`` (0..n-1) and ``rank``, their place after the shuffle.
     """
-    placed = with_group_position(population.where(F.col(group).isNotNull()), group, *order, name="_p")
+    placed = with_group_position(
+        population.where(F.col(group).isNotNull()).select(group, *order), group, *order, name="_p")
     groups = with_position(placed.select(group, "_p_size").distinct(), group, name="_g")
     groups = groups.persist()
     g = max(groups.count(), 1)
@@ -66,7 +70,8 @@ def stratified_sample(
         "_g", "_p_size")
     drawn = lookup(wanted, placed.drop("_p_size"), [group, "_p"]).drop("_p")
     shuffle = draw_hash(F.col("request"), f"{seed}:order")
-    return with_position(drawn.withColumn("_h", shuffle), "_h", "request", name="rank").drop("_h")
+    ranked = with_position(drawn.withColumn("_h", shuffle), "_h", "request", name="rank").drop("_h")
+    return lookup(ranked, population.drop(group), list(order))
 
 
 def thin_class(members: DataFrame, key: str, seed: str) -> DataFrame:
@@ -118,15 +123,13 @@ def balanced_services(df: DataFrame, key: str, seed: str) -> DataFrame:
 
     Rows of a class take the combinations in turn, in seeded order.
     """
-    placed = with_group_position(
-        df.withColumn("_h", draw_hash(F.col(key), f"{seed}:turn")), "size_class", "_h", key,
-        name="_p",
-    )
-    return placed.withColumn("combination", F.array_join(
-        F.array_sort(_combination_at(F.pmod(F.col("_p"), _class_width()))), "+"
-    )).withColumn("services", shuffled(
-        _combination_at(F.pmod(F.col("_p"), _class_width())), F.col(key), f"{seed}:shuffle")
-    ).drop("_h", "_p", "_p_size")
+    turn = df.select(key, "size_class", draw_hash(F.col(key), f"{seed}:turn").alias("_h"))
+    placed = with_group_position(turn, "size_class", "_h", key, name="_p").select(key, "_p")
+    chosen = _combination_at(F.pmod(F.col("_p"), _class_width()))
+    return df.join(placed, key).withColumns({
+        "combination": F.array_join(F.array_sort(chosen), "+"),
+        "services": shuffled(chosen, F.col(key), f"{seed}:shuffle"),
+    }).drop("_p")
 
 
 def combination_usage(assigned: DataFrame) -> DataFrame:

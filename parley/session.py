@@ -35,8 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     The fallback is meant for single-machine runs (tests, benches).
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = (spark.conf.get("spark.checkpoint.dir", None)
+              or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir())
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="parley-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
