@@ -40,8 +40,8 @@ def greedy_sql(rows: str, final: str, fixed: str = "false", first: str | None =
     first = first or fixed
     return f"""
   WITH RECURSIVE src AS ({rows}),
-  numbered AS (SELECT *, row_number() OVER (ORDER BY {first} DESC, id) AS rn FROM src),
-  earlier AS (
+  numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {first} DESC, id) AS rn FROM src),
+  earlier AS MATERIALIZED (
     SELECT b.rn, list(a.rn) AS near FROM numbered a JOIN numbered b
       ON a.rn < b.rn AND list_cosine_similarity(a.v, b.v) >= {THRESHOLD} GROUP BY b.rn),
   walk AS (
