@@ -237,7 +237,7 @@ SCORED_SQL = f"""
           {sql_list(WORD_NEGATORS)}) THEN -0.74::DOUBLE ELSE 1.0::DOUBLE END) AS s
         FROM pos JOIN lex USING (word) GROUP BY 1, 2),
   scored AS (SELECT c.conv_id, c.turn, c.role, round(coalesce(s, 0) / sqrt(coalesce(s, 0)
-               * coalesce(s, 0) + 15), 4) AS score
+               * coalesce(s, 0) + 15), 4) + 0.0::DOUBLE AS score
              FROM conversations c LEFT JOIN s USING (conv_id, turn)),
   kinds AS (SELECT *, CASE WHEN score > 0.1 THEN 'Positive' WHEN score < -0.1 THEN 'Negative'
               ELSE 'Neutral' END AS category FROM scored)"""

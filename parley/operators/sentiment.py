@@ -58,8 +58,8 @@ def score(texts: DataFrame, keys: list[str], column: str, lexicon: dict[str, flo
     valued = exploded.join(F.broadcast(lexicon_table(texts.sparkSession, lexicon)), "word", "left")
     signed = F.col("valence") * F.when(F.arrays_overlap("before", negating), NEGATION).otherwise(1.0)
     total = valued.groupBy(*keys).agg(F.coalesce(F.sum(signed), F.lit(0.0)).alias("_s"))
-    return total.select(*keys, F.round(
-        F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + SPREAD), 4).alias("score"))
+    scaled = F.round(F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + SPREAD), 4)
+    return total.select(*keys, (scaled + F.lit(0.0)).alias("score"))  # no negative zero
 
 
 def category(value: Column) -> Column:
