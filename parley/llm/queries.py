@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chunk_reuse, fast_sketch, packing, ppm, toxicity, word_tokens
+from parley.llm import (
+    chunk_reuse, fast_sketch, host_suffix, iblt, learned_parts, packing, ppm, toxicity, warc, word_tokens,
+)
 from parley.llm.arrays import in_fold, learnt_from
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +55,44 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_fast_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fast_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _sql_base32(digest: str) -> str:
+    """Upper-case base 32 of a SHA-1 given in hex."""
+    letters = []
+    for group in range(8):
+        bits = f"('0x' || substr({digest}, {5 * group + 1}, 5))::BIGINT"
+        letters += [f"substr('{warc.BASE32}', (({bits} >> {shift}) % 32 + 1)::BIGINT, 1)"
+                    for shift in (15, 10, 5, 0)]
+    return " || ".join(letters)
+
+
+ORACLES["op1_warc_archive"] = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, url, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hexed FROM p),
+     m AS (SELECT *, max(page_id) OVER (PARTITION BY hexed) AS original FROM d)
+SELECT page_id, payload_bytes, {_sql_base32('hexed')} AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to, url
+FROM m
+"""
+
+
+@query
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_learned_parts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_parts.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_suffix.extract(table(spark, sf_dir, "pages"))
