@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
-    chunk_reuse, fast_sketch, host_suffix, iblt, learned_parts, packing, ppm, toxicity, warc, word_tokens,
+    chunk_reuse, fast_sketch, host_suffix, iblt, learned_parts, maxent, packing, ppm, toxicity, warc, word_tokens,
 )
 from parley.llm.arrays import in_fold, learnt_from
 
@@ -96,3 +96,11 @@ def op2_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_suffix.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc_id = F.col("doc_id")
+    turn = F.floor(F.crc32(doc_id.cast("string")) / 7)
+    return (maxent.scores(table(spark, sf_dir, "documents"), learnt_from(doc_id, 7, 2), turn)
+            .withColumn("held_out", in_fold(doc_id, 7, 2)))
