@@ -11,8 +11,10 @@ Bands of four coordinates give candidates: at similarity 0.75 no band agrees wit
 and every candidate counts only after its full sets have been compared.
 
 Texts with the same set are one node from the start. In each bucket of a band the nodes are compared
-with one of them, whose place rotates over a few rounds; what is then still apart in a bucket is
-compared pair by pair, if the sizes allow a link at all. No list of all pairs of a group is made.
+with the one of the smallest id. In buckets that then hold several components, shingles that no
+other node there has bound what a node can share with any: most outsiders are out by that bound
+alone. The rest are compared with pivots chosen by hash, and what is still apart in a bucket pair by
+pair where sizes and bounds allow a link. No list of all pairs of a group is made.
 
 Defined cases: null texts and texts without words have no shingle and are linked with nothing; with
 fewer than five words the whole sequence is the one shingle; rows without id are linked with nothing
@@ -138,22 +140,40 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], names=["a", "b"])
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """``node, shingles`` of the nodes in ``asked``; only their texts are read again."""
+    wanted = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
+    return cut(docs.select("doc_id", "text").join(wanted, "doc_id")
+               .select("node", "text").mapInArrow(_sets, "node long, shingles binary"))
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs of nodes ``a, b`` whose full sets are similar enough.
 
-    Only texts that stand in a pair are read again. A node that stands in very many pairs is a hot
-    key of the last join only, whose partitions the engine may split, as each row is judged alone.
+    A node that stands in very many pairs is a hot key of the joins only, whose partitions the
+    engine may split, as each pair is judged alone.
     """
-    asked = pairs.select("a").union(pairs.select(F.col("b"))).distinct().withColumnRenamed("a", "node")
-    wanted = nodes.join(asked, "node", "left_semi").select("node", "doc_id")
-    sets = cut(docs.select("doc_id", F.col(text).alias("text")).join(wanted, "doc_id")
-               .select("node", "text").mapInArrow(_sets, "node long, shingles binary"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
             .mapInArrow(_links, "a long, b long"))
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, raw in zip(batch.column(0), batch.column(1)):
+            found = np.frombuffer(raw.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node.as_py())), pa.array(found)],
+                                             names=["node", "shingle"])
+
+
+def own_counts(sets: DataFrame) -> DataFrame:
+    """``node, own``: how many shingles of a node no other node of ``sets`` has."""
+    return (sets.mapInArrow(_exploded, "node long, shingle long")
+            .groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node"))
+            .where("n = 1").groupBy("node").agg(F.count("*").alias("own")))
+
+
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, label``: the smallest node reachable over the links, for nodes that have one.
 
@@ -185,47 +205,43 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     nodes = cut(full.groupBy("set_a", "set_b", "n_shingles")
                 .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
                 .withColumn("node", F.xxhash64("set_a", "set_b", "n_shingles")))
-    members = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    members = nodes.select("node", "n_shingles", "doc_id", F.explode("bands").alias("band"))
     crowded = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = cut(members.join(crowded, "band"))
-    links = same_id = _same_id(full)
-    labels = None
-    asked = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        rest = members
-        if labels is not None:
-            known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            apart = (known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                     .where("low < high").select("band"))
-            rest = cut(known.join(apart, "band"))
-        if turn < PIVOT_ROUNDS:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n_shingles",
-                             *(["label"] if labels is not None else []))
-            pivots = rest.groupBy("band").agg(F.min(order).alias("pivot")).select(
-                "band", F.col("pivot.node").alias("pivot"), F.col("pivot.n_shingles").alias("size"),
-                *([F.col("pivot.label").alias("other")] if labels is not None else []))
-            pairs = rest.join(pivots, "band").where("node <> pivot").where(_sizes("n_shingles", "size"))
-            if labels is not None:
-                pairs = pairs.where("label <> other")
-            pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        else:
-            mate = rest.select("band", F.col("node").alias("b"), F.col("n_shingles").alias("size"),
-                               F.col("label").alias("other"))
-            pairs = (rest.join(mate, "band").where("node < b and label <> other")
-                     .where(_sizes("n_shingles", "size")).select(F.col("node").alias("a"), "b"))
-        pairs = pairs.distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if not pairs.limit(1).count():
-            if turn == PIVOT_ROUNDS or labels is None or not rest.limit(1).count():
+    links = _same_id(full)
+    # first every member of a bucket against the one with the smallest id, likely the original
+    pivots = members.groupBy("band").agg(F.min(F.struct("doc_id", "node", "n_shingles")).alias("pivot")).select(
+        "band", F.col("pivot.node").alias("pivot"), F.col("pivot.n_shingles").alias("size"))
+    pairs = cut(_pairs(members.join(pivots, "band").where(_sizes("n_shingles", "size"))))
+    links = cut(links.union(verified(sets_of(docs, nodes, _ends(pairs)), pairs)))
+    labels = components(nodes, links)
+    rest = cut(_apart(members, labels))
+    if rest.limit(1).count():
+        # a set of which more than a quarter is its own can be linked with nothing
+        sets = sets_of(docs, nodes, rest)
+        reach = F.col("n_shingles") - F.coalesce("own", F.lit(0))
+        rest = cut(rest.join(own_counts(sets), "node", "left").withColumn("reach", reach)
+                   .where(100 * F.col("reach") >= PERCENT * F.col("n_shingles"))
+                   .select("band", "node", "n_shingles", "reach"))
+        done = pairs
+        for turn in range(PIVOT_ROUNDS):
+            left = cut(_apart(rest, labels))
+            if not left.limit(1).count():
                 break
-            continue
-        asked = pairs if asked is None else asked.union(pairs)
-        links = cut(links.union(verified(docs, nodes, pairs)))
-        labels = components(nodes, links)
-    if labels is None:
-        labels = components(nodes, links)
+            able = (PERCENT + 100) * F.least("reach", "reach_too") >= PERCENT * (F.col("n_shingles") + F.col("size"))
+            mates = left.select(F.col("band").alias("at"), F.col("node").alias("pivot"), F.col("n_shingles").alias("size"),
+                                F.col("reach").alias("reach_too"), F.col("label").alias("other"))
+            if turn < PIVOT_ROUNDS - 1:
+                order = F.struct(F.xxhash64("pivot", F.lit(turn)), *[c for c in mates.columns if c != "at"])
+                mates = mates.groupBy("at").agg(F.min(order).alias("m")).select("at", "m.*")
+            else:
+                able &= F.col("node") < F.col("pivot")
+            pairs = cut(_pairs(left.join(mates, (F.col("band") == F.col("at")) & (F.col("label") != F.col("other"))
+                                         & able & _sizes("n_shingles", "size")))
+                        .join(done, ["a", "b"], "left_anti"))
+            done = done.union(pairs)
+            links = cut(links.union(verified(sets, pairs)))
+            labels = components(nodes, links)
     named = (nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
              .select("set_a", "set_b", "n_shingles", "label", "doc_id"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -238,6 +254,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs of ``node`` and ``pivot``, the smaller first."""
+    return (rows.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+            .distinct())
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their labels, of the buckets that hold more than one component."""
+    known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = (known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+             .where("low < high").select("band"))
+    return known.join(apart, "band")
+
+
 def _sizes(one: str, two: str):
     """Whether sets of these sizes can be similar enough."""
     return 100 * F.least(one, two) >= PERCENT * F.greatest(one, two)

@@ -33,6 +33,7 @@ MAX_ROWS = 20_000
 MAX_FEATURES = 1 << 14
 LEAST_Z = 4.0
 THRESHOLD = 0.7
+COUNT_BYTES = 1 << 19  # counting sorts all n-grams of a slice, not only the chosen ones
 
 _AS_SPACE = LOWER.copy()
 _AS_SPACE[[b for b in range(128) if not chr(b).isalnum()]] = 32
