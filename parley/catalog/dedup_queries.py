@@ -8,7 +8,7 @@ from parley.catalog.fixture import dialogues, over_dialogues, table
 from parley.catalog.registry import query
 from parley.functions.hashing import content_hash, fingerprint, record_hash
 from parley.functions.vectors import norm
-from parley.operators import dedup, similarity
+from parley.operators import dedup, similarity, survivors
 from parley.operators.joins import seen, split_by_ids, unseen
 from parley.operators.shape import base_conversation, seeds_from_rows
 
@@ -180,18 +180,30 @@ def semantic_dedup(spark, sf_dir):
         table(spark, sf_dir, "embeddings"), "vec_id", "embedding", THRESHOLD)
 
 
+@query("negative_id_dedup", greedy_sql(
+    "SELECT vec_id - 1000 AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
+    "SELECT id, rn IN (SELECT rn FROM survivors) AS kept FROM numbered"))
+def negative_id_dedup(spark, sf_dir):
+    """Ids on either side of zero stand for the order like any others."""
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") - 1000).alias("id"), "embedding")
+    return survivors.greedy_survivors(similarity.numbered_vectors(rows, "id", "embedding"), THRESHOLD)
+
+
 @query("two_stage_dedup", greedy_sql(
     """SELECT doc_id AS id, v FROM (
          SELECT d.doc_id, CAST(e.embedding AS DOUBLE[]) AS v,
                 row_number() OVER (PARTITION BY lower(trim(d.text)), d.lang ORDER BY d.doc_id) AS copy
-         FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id) WHERE copy = 1""",
+         FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)
+       WHERE copy = 1 AND v IS NOT NULL""",
     """SELECT d.doc_id, CASE WHEN d.doc_id IN (SELECT id FROM src) THEN 'semantic' ELSE 'exact' END
          AS stage
-       FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id
-       WHERE d.doc_id NOT IN (SELECT id FROM numbered JOIN survivors USING (rn))"""))
+       FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)), lang ORDER BY doc_id) AS copy
+             FROM documents) d
+       WHERE copy > 1 OR d.doc_id IN (SELECT id FROM src)
+         AND d.doc_id NOT IN (SELECT id FROM numbered JOIN survivors USING (rn))"""))
 def two_stage_dedup(spark, sf_dir):
     docs = documents_as_turns(spark, sf_dir).join(
-        table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+        table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
     rows = docs.select("doc_id", content_hash(F.col("turns")).alias("hash"), "embedding")
     return dedup.two_stage_duplicates(rows, "hash", "doc_id", "embedding", THRESHOLD)
 

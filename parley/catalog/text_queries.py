@@ -105,15 +105,22 @@ def tag_validity(spark, sf_dir):
         text.is_valid_generation(body).alias("valid"))
 
 
+def _filled(field: str) -> str:
+    trimmed = rf"trim({field}, E' \n\t\r')"
+    return f"CASE WHEN {trimmed} = '' THEN 'N/A' ELSE {trimmed} END AS {field}"
+
+
 @query("tag_parse_filling", over_dialogues(rf"""{TAGGED_SQL},
-  i AS (SELECT conv_id, unnest(regexp_extract_all(body, '{FULL_TURN}', 2, 's')) AS intent,
+  i AS (SELECT conv_id, unnest(regexp_extract_all(body, '{FULL_TURN}', 1, 's')) AS utterance,
+        unnest(regexp_extract_all(body, '{FULL_TURN}', 2, 's')) AS intent,
+        unnest(regexp_extract_all(body, '{FULL_TURN}', 3, 's')) AS assistant_response,
         generate_subscripts(regexp_extract_all(body, '{FULL_TURN}', 2, 's'), 1) AS turn_number FROM body)
-  SELECT conv_id, turn_number, CASE WHEN trim(intent) = '' THEN 'N/A' ELSE trim(intent) END AS intent
+  SELECT conv_id, turn_number, {_filled("utterance")}, {_filled("intent")}, {_filled("assistant_response")}
   FROM i"""))
 def tag_parse_filling(spark, sf_dir):
     return damaged_texts(spark, sf_dir).select(
         "conv_id", F.inline(text.parse_turns_filling(F.col("body")))
-    ).select("conv_id", "turn_number", "intent")
+    ).select("conv_id", "turn_number", "utterance", "intent", "assistant_response")
 
 
 RENDER_SQL = r"""

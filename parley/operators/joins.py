@@ -108,11 +108,11 @@ def zip_positions(named: dict[str, DataFrame], position: str = "pos") -> DataFra
 
 
 def zip_arrays(df: DataFrame, columns: Sequence[str], position: str = "pos") -> DataFrame:
-    """Ragged array columns of a one-row table -> one row per position."""
-    pairs = {
-        c: df.select(F.posexplode(c).alias(position, c)) for c in columns
-    }
-    return zip_positions(pairs, position)
+    """Ragged array columns -> one row per position of each row, the shorter ones padded with null."""
+    kinds = dict(df.dtypes)
+    full = [F.coalesce(F.col(c), F.array().cast(kinds[c])).alias(c) for c in columns]
+    zipped = df.select(*full).select(F.posexplode(F.arrays_zip(*columns)).alias(position, "_zipped"))
+    return zipped.select(position, *[F.col("_zipped")[c].alias(c) for c in columns])
 
 
 def categories_of(services: DataFrame, service: str = "service") -> DataFrame:

@@ -75,13 +75,11 @@ def over_recent_rows(
 ) -> DataFrame:
     """Window expressions that look at most ``reach`` rows back, in blocks of equal size.
 
-    Each block also gets the last ``reach`` rows of the block before it; those copies are
+    Each block also gets the ``reach`` rows before it, of however many blocks; those copies are
     dropped again. ``compute`` receives a window ordered by ``position`` (no frame).
     """
     block = F.floor(F.col(position) / block_rows)
-    ahead = F.when(
-        F.col(position) % block_rows >= block_rows - reach, F.array(block, block + 1)
-    ).otherwise(F.array(block))
+    ahead = F.sequence(block, F.floor((F.col(position) + reach) / block_rows))
     spread = df.withColumn("_home", block).withColumn("_block", F.explode(ahead))
     window = Window.partitionBy("_block").orderBy(position)
     return (

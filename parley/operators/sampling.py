@@ -138,7 +138,7 @@ def combination_usage(assigned: DataFrame) -> DataFrame:
     known = assigned.sparkSession.createDataFrame(rows, "size_class string, combination string")
     used = assigned.groupBy("size_class", "combination").agg(F.count("*").alias("uses"))
     # at most one row per combination on either side
-    return F.broadcast(known).join(used, ["size_class", "combination"], "left").na.fill(0, ["uses"])
+    return known.join(F.broadcast(used), ["size_class", "combination"], "left").na.fill(0, ["uses"])
 
 
 def usage_spread(usage: DataFrame) -> DataFrame:

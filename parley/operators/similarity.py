@@ -46,7 +46,7 @@ class Pivots:
 
 
 def numbered_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(id, vec) in the form every search here takes; ids are 0 or more."""
+    """(id, vec) in the form every search here takes."""
     return df.select(F.col(id_column).cast("long").alias("id"),
                      F.col(vector).cast("array<double>").alias("vec"))
 
@@ -425,11 +425,24 @@ def near_existing(
     Both sides are (id, vec).
     """
     # existing rows get ids below every new one, which is what "earlier" compares
-    existing = cut(unit_vectors(existing.select((-F.col("id") - 1).alias("id"), "vec")).drop("key"))
+    existing = cut(unit_vectors(below_zero(existing)).drop("key"))
+    new, low = from_zero(new)
     new = unit_vectors(new).drop("key")
     hits = earlier_witness(new, existing, threshold, probes=probes, cells=cells,
                            small_values=small_values, block_rows=block_rows)
-    return hits.select("id").distinct()
+    return hits.select((F.col("id") + low).alias("id")).distinct()
+
+
+def from_zero(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """(id, vec) with ids counted from the smallest, and that smallest id."""
+    low = vectors.agg(F.min("id")).first()[0] or 0
+    return vectors.select((F.col("id") - low).alias("id"), "vec"), low
+
+
+def below_zero(vectors: DataFrame) -> DataFrame:
+    """(id, vec) with ids mirrored to -1 and less."""
+    vectors, _ = from_zero(vectors)
+    return vectors.select((-F.col("id") - 1).alias("id"), "vec")
 
 
 def earlier_witness(

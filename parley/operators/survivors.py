@@ -29,6 +29,8 @@ def greedy_survivors(
     vector are settled first: whatever decides the first one removes the others. ``probes``
     searches that many nearest cells only.
     """
+    # inside, state rows have negative ids and rows to judge have ids from zero on
+    vectors, low = sim.from_zero(vectors)
     # a vector without direction resembles nothing, so its row survives
     pointed = F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
     rows = vectors.select("id", pointed.alias("pointed"))
@@ -36,8 +38,7 @@ def greedy_survivors(
         F.min("id").alias("id"), F.min_by("vec", "id").alias("vec")).select("id", "vec"))
     kept = []
     if existing is not None:
-        kept.append(cut(sim.unit_vectors(
-            existing.select((-F.col("id") - 1).alias("id"), "vec")).select("id", "vec")))
+        kept.append(cut(sim.unit_vectors(sim.below_zero(existing)).select("id", "vec")))
     dimension = sim.dimension_of(waiting)
     pivots = None
     if probes is not None or not sim.fits(_pool(waiting, kept), dimension, small_values):
@@ -68,9 +69,9 @@ def greedy_survivors(
         part = part.where("id >= 0").select("id", F.lit(True).alias("kept"))
         survivors = part if survivors is None else survivors.unionByName(part)
     if survivors is None:  # no usable vector at all
-        return rows.select("id", F.lit(True).alias("kept"))
+        return rows.select((F.col("id") + low).alias("id"), F.lit(True).alias("kept"))
     return rows.join(survivors, "id", "left").select(
-        "id", (F.coalesce("kept", F.lit(False)) | ~F.col("pointed")).alias("kept"))
+        (F.col("id") + low).alias("id"), (F.coalesce("kept", F.lit(False)) | ~F.col("pointed")).alias("kept"))
 
 
 def _pool(waiting: DataFrame, kept: list[DataFrame]) -> DataFrame:

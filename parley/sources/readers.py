@@ -16,8 +16,14 @@ CORRUPT = "_corrupt_record"
 
 
 def read_strict(spark: SparkSession, path: str, schema: T.StructType = DIALOGUE_JSON) -> DataFrame:
-    """JSON lines; blank lines are skipped and a bad line fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines; blank lines are skipped and a line that is no JSON fails the read.
+
+    A field of another type than the schema's becomes null; ``shape.violations`` reports it.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    whole = F.when(F.try_parse_json("value").isNull(), F.raise_error(
+        F.concat(F.lit("no JSON: "), F.substring("value", 1, 200))).cast("string")).otherwise(F.col("value"))
+    return lines.select(F.from_json(whole, schema).alias("r")).select("r.*")
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType = DIALOGUE_JSON) -> tuple[DataFrame, DataFrame]:
@@ -33,12 +39,18 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType = DIALOGU
 def read_array(spark: SparkSession, path: str, schema: T.StructType = DIALOGUE_JSON) -> DataFrame:
     """A file holding one JSON array. It is read by one task, so turn large ones into lines once.
 
-    Fields of another type than the schema's become null.
+    Fields of another type than the schema's become null; a file that breaks off fails the read.
     """
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
     if head and not head[0].value.lstrip("﻿ \t").startswith("["):
         raise ValueError(f"{path} does not hold a list")
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    rows = spark.read.schema(wide).option("multiLine", True).json(path)
+    broken = F.col(CORRUPT).isNotNull()
+    for f in schema.fields:
+        broken &= F.col(f.name).isNull()
+    fails = F.when(broken, F.raise_error(F.lit(f"{path} breaks off")).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(fails).drop(CORRUPT)
 
 
 def read_turns(spark: SparkSession, path: str) -> DataFrame:

@@ -67,3 +67,38 @@ def test_scans_read_only_what_they_need(spark):
     assert "text" not in plan
     plan = plan_of(entry.queries()["word_frequency"](spark, SF))
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(role,assistant\)", plan)
+
+
+def test_window_longer_than_a_block(spark):
+    from pyspark.sql import functions as F
+
+    from parley.operators.ordering import over_recent_rows
+
+    rows = spark.range(20).withColumnRenamed("id", "pos")
+    got = over_recent_rows(rows, "pos", 7, lambda w: {
+        "n": F.count("*").over(w.rowsBetween(-7, 0))}, block_rows=3)
+    assert {r.pos: r.n for r in got.collect()} == {i: min(i + 1, 8) for i in range(20)}
+
+
+def test_broken_files_fail_and_other_types_do_not(spark, tmp_path):
+    import pytest
+
+    from parley.sources.readers import read_array, read_strict
+
+    (tmp_path / "cut.json").write_text('[{"dialogue_id": "a", "num_lines": 3}, {"dialogue_id": "b"')
+    with pytest.raises(Exception, match="breaks off"):
+        read_array(spark, str(tmp_path / "cut.json")).collect()
+    (tmp_path / "lines.json").write_text('{"dialogue_id": "a", "num_lines": "6"}\n\n{"dialogue_id": "b", "num_lines": 6}\n')
+    got = read_strict(spark, str(tmp_path / "lines.json")).select("dialogue_id", "num_lines").collect()
+    assert [tuple(r) for r in got] == [("a", None), ("b", 6)]
+    (tmp_path / "bad.json").write_text('{"dialogue_id": "a"}\n{"dialogue_id"\n')
+    with pytest.raises(Exception, match="no JSON"):
+        read_strict(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_metrics_of_several_files(spark):
+    from parley.operators.joins import zip_arrays
+
+    rows = spark.createDataFrame([([1, 2], [3]), ([4], None)], "a array<int>, b array<int>")
+    assert sorted(map(tuple, zip_arrays(rows, ["a", "b"]).collect()), key=str) == [
+        (0, 1, 3), (0, 4, None), (1, 2, None)]
