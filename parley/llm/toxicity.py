@@ -3,7 +3,8 @@
 A text is the set of its n-grams of bytes (lower case, everything but letters and digits read as a
 space). Each n-gram's share among toxic and other labelled texts gives a log ratio; a logistic
 classifier is fitted to texts whose features are those ratios. N-grams whose shares differ by less
-than chance would make them are left out, which keeps long texts from adding up noise.
+than chance would make them, or by a small factor, are left out, which keeps long texts from adding
+up noise.
 
 Fitting uses at most ``max_rows`` labelled texts, half of them toxic, taken in the order of a hash
 of the id. Scoring reads every text whole.
@@ -32,6 +33,7 @@ BITS = 20
 MAX_ROWS = 20_000
 MAX_FEATURES = 1 << 14
 LEAST_Z = 4.0
+LEAST_RATIO = 1.0  # longer texts have more of every n-gram, but hardly by this factor
 THRESHOLD = 0.7
 COUNT_BYTES = 1 << 19  # counting sorts all n-grams of a slice, not only the chosen ones
 
@@ -121,11 +123,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
               .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
               .withColumn("z", F.abs(F.col("pos") / pos - F.col("neg") / neg)
                           / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12))
-              .where(F.col("z") >= LEAST_Z)
+              .withColumn("ratio", F.log((F.col("pos") + 1) / (pos + 2)) - F.log((F.col("neg") + 1) / (neg + 2)))
+              .where((F.col("z") >= LEAST_Z) & (F.abs("ratio") >= LEAST_RATIO))
               .orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect())
     ratio = np.zeros(1 << BITS)
     for r in counts:
-        ratio[r.feature] = np.log((r.pos + 1) / (pos + 2)) - np.log((r.neg + 1) / (neg + 2))
+        ratio[r.feature] = r.ratio
     wanted = ratio != 0
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
