@@ -13,8 +13,11 @@ and every candidate counts only after its full sets have been compared.
 Texts with the same set are one node from the start. In each bucket of a band the nodes are compared
 with the one of the smallest id. In buckets that then hold several components, shingles that no
 other node there has bound what a node can share with any: most outsiders are out by that bound
-alone. The rest are compared with pivots chosen by hash, and what is still apart in a bucket pair by
-pair where sizes and bounds allow a link. No list of all pairs of a group is made.
+alone. The rest are compared with pivots chosen by hash. What is still apart in a bucket is joined on
+its rarest shingles: with each set ordered from its rarest shingle on, the first shingle two similar
+sets share stands so early in both that enough of either follows it. Copies of one text differ in
+their rare shingles, so few pairs pass, and none that could be linked is lost. No list of all pairs
+of a group is made.
 
 Defined cases: null texts and texts without words have no shingle and are linked with nothing; with
 fewer than five words the whole sequence is the one shingle; rows without id are linked with nothing
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.arrays import byte_slices, mix, signed, words
@@ -37,7 +40,7 @@ WORDS = 5
 COORDS = 128
 BAND = 4
 PERCENT = 75
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _LOW56 = np.uint64(8)
@@ -174,6 +177,31 @@ def own_counts(sets: DataFrame) -> DataFrame:
             .where("n = 1").groupBy("node").agg(F.count("*").alias("own")))
 
 
+def rare_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of ``nodes`` (``node, n_shingles, label``) that may be linked, of different labels.
+
+    ``at`` counts the rarer shingles of a set before one. Two sets share at most what is left of
+    either from their first common shingle on, which must be enough for their sizes.
+    """
+    rows = cut(sets.join(nodes.select("node"), "node", "left_semi").select("node", "shingles")
+               .mapInArrow(_exploded, "node long, shingle long"))
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("node").orderBy("n", "shingle")
+    early = (rows.join(counts, "shingle").withColumn("at", F.row_number().over(rarest) - 1).where("n > 1")
+             .join(nodes, "node").withColumn("rest", F.col("n_shingles") - F.col("at"))
+             .where(100 * F.col("rest") >= PERCENT * F.col("n_shingles"))
+             .select("shingle", "node", "n_shingles", "rest", "label"))
+    early = cut(early)
+    mixed = (early.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+             .where("low < high").select("shingle"))
+    early = early.join(mixed, "shingle")
+    mates = early.select("shingle", F.col("node").alias("pivot"), F.col("n_shingles").alias("size"),
+                         F.col("rest").alias("rest_too"), F.col("label").alias("other"))
+    enough = (PERCENT + 100) * F.least("rest", "rest_too") >= PERCENT * (F.col("n_shingles") + F.col("size"))
+    return _pairs(early.join(mates, "shingle").where(
+        (F.col("node") < F.col("pivot")) & (F.col("label") != F.col("other")) & enough))
+
+
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, label``: the smallest node reachable over the links, for nodes that have one.
 
@@ -231,17 +259,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             able = (PERCENT + 100) * F.least("reach", "reach_too") >= PERCENT * (F.col("n_shingles") + F.col("size"))
             mates = left.select(F.col("band").alias("at"), F.col("node").alias("pivot"), F.col("n_shingles").alias("size"),
                                 F.col("reach").alias("reach_too"), F.col("label").alias("other"))
-            if turn < PIVOT_ROUNDS - 1:
-                order = F.struct(F.xxhash64("pivot", F.lit(turn)), *[c for c in mates.columns if c != "at"])
-                mates = mates.groupBy("at").agg(F.min(order).alias("m")).select("at", "m.*")
-            else:
-                able &= F.col("node") < F.col("pivot")
+            order = F.struct(F.xxhash64("pivot", F.lit(turn)), *[c for c in mates.columns if c != "at"])
+            mates = mates.groupBy("at").agg(F.min(order).alias("m")).select("at", "m.*")
             pairs = cut(_pairs(left.join(mates, (F.col("band") == F.col("at")) & (F.col("label") != F.col("other"))
                                          & able & _sizes("n_shingles", "size")))
                         .join(done, ["a", "b"], "left_anti"))
             done = done.union(pairs)
             links = cut(links.union(verified(sets, pairs)))
             labels = components(nodes, links)
+        left = cut(_apart(rest, labels).select("node", "n_shingles", "label").distinct())
+        if left.limit(1).count():
+            pairs = cut(rare_pairs(sets, left).join(done, ["a", "b"], "left_anti"))
+            links = cut(links.union(verified(sets, pairs)))
+            labels = components(nodes, links)
     named = (nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
              .select("set_a", "set_b", "n_shingles", "label", "doc_id"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -169,6 +169,26 @@ def test_star_of_near_copies_and_outsiders(spark):
     assert all(got[i].component_id == 0 for i in linked)
 
 
+def test_rare_pairs_lose_no_link(spark):
+    """Random near copies of one text, all still apart: every linked pair is among the candidates."""
+    rng = random.Random(8)
+    sets = {}
+    for node in range(80):
+        words = [f"w{i}" for i in range(rng.choice([100, 100, 90, 120]))]
+        for at in rng.sample(range(90), rng.randint(0, 7)):
+            words[at] = f"x{at}y{rng.randint(0, 2)}"
+        sets[node] = {hash(tuple(words[k:k + 5])) % 2**62 for k in range(len(words) - 4)}
+    packed = spark.createDataFrame(
+        [(n, bytearray(np.array(sorted(s), np.uint64).tobytes())) for n, s in sets.items()], "node long, shingles binary")
+    nodes = spark.createDataFrame([(n, len(s), n) for n, s in sets.items()], "node long, n_shingles long, label long")
+    got = {(r.a, r.b) for r in fast_sketch.rare_pairs(packed, nodes).collect()}
+    linked = {(a, b) for a in sets for b in sets
+              if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert linked and linked <= got and len(got) < 80 * 79 / 2
+    merged = nodes.withColumn("label", F.lit(0))  # one component has nothing left to link
+    assert fast_sketch.rare_pairs(packed, merged).count() == 0
+
+
 def test_sketch_coordinates_agree_like_the_sets():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 400).astype(np.uint64)
