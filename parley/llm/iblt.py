@@ -32,6 +32,7 @@ CELLS = 8  # in each of three tables of a fingerprint; a power of two
 TABLES = 3
 LONG = 400
 ROWS_PER_RANGE = 8192
+COMPARED_BYTES = 256 << 10  # texts compared at once; a longer text is compared alone, and whole
 _NO_ID = -(2**63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = [mix(np.array([s], np.uint64)) for s in (3, 5, 7, 11)]
@@ -208,7 +209,7 @@ def fingerprints(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataF
         held: tuple | None = None  # the row whose next is not known yet
         for batch in batches:
             copies = batch.column(2).to_numpy(zero_copy_only=False)
-            for first, end, _, _ in byte_slices(batch.column(1), 2 << 20):
+            for first, end, _, _ in byte_slices(batch.column(1), COMPARED_BYTES):
                 rows = [] if held is None else [held]
                 lent = False
                 for i in range(first, end):
