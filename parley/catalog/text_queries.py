@@ -72,7 +72,9 @@ TAGGED_SQL = """
   body AS (SELECT conv_id, string_agg(part, chr(10) ORDER BY turn_number) AS body
            FROM damaged GROUP BY conv_id)"""
 
-FULL_TURN = r"<User>(.*?)</User>\s*<Intent>(.*?)</Intent>\s*<Assistant>(.*?)</Assistant>"
+# the same markup; SQL takes the flag as an argument of its own
+FULL_TURN = text.TURN_PATTERN.removeprefix("(?s)")
+FULL_FORMAT = text.FORMAT_PATTERN.removeprefix("(?s)")
 
 
 def damaged_texts(spark, sf_dir):
@@ -90,7 +92,7 @@ def damaged_texts(spark, sf_dir):
 
 @query("tag_validity", over_dialogues(rf"""{TAGGED_SQL}
   SELECT conv_id, len(regexp_extract_all(body, '{FULL_TURN}', 1, 's')) AS n_turns,
-         regexp_matches(body, '<User>.*?</User>.*?<Intent>.*?</Intent>.*?<Assistant>.*?</Assistant>', 's')
+         regexp_matches(body, '{FULL_FORMAT}', 's')
            AS has_format,
          contains(array_to_string(regexp_extract_all(body, '<User>(.*?)</User>', 1, 's'), ' '), '<User>')
            AS nested,
