@@ -68,14 +68,17 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0, heavy_share: int = 100
     light = groups.where(F.col("n") * heavy_share <= total).select(
         F.col("payload_digest").alias("light_digest"), F.col("original").alias("light_original"))
     marked = rows.join(F.broadcast(heavy), "payload_digest", "left")
-    # only revisits of the others take part in a join, by their own ids
+    # only revisits of the others take part in a join, by their own ids and payloads: once for rows
+    # that are repeated, as each of these meets them
     # a table written first, so that the planner knows its size and spares the payloads a shuffle
     # where it is small
     light_rows = cut(rows.select("page_id", "payload_digest")
                      .join(light, F.col("payload_digest") == F.col("light_digest"))
                      .where("page_id <> light_original")
-                     .select(F.col("page_id").alias("light_page"), "light_original"))
-    out = marked.join(light_rows, F.col("page_id") == F.col("light_page"), "left")
+                     .select(F.col("page_id").alias("light_page"), "light_digest", "light_original")
+                     .distinct())
+    out = marked.join(light_rows, (F.col("page_id") == F.col("light_page"))
+                      & (F.col("payload_digest") == F.col("light_digest")), "left")
     original = F.coalesce("heavy_original", "light_original")
     return out.select("page_id", "url", "payload", "payload_bytes", "payload_digest",
                       F.when(original != F.col("page_id"), original).alias("refers_to"))

@@ -370,6 +370,21 @@ def test_warc(spark, tmp_path):
     assert [r.refers_to for r in some] == [f"<{warc.ID_PREFIX}5>"]
 
 
+def test_warc_joins_keep_repeated_rows(spark):
+    """Equal results by the join and by the broadcast, where rows and ids are repeated."""
+    rows = [(1, "a", "same"), (1, "a", "same"), (1, "a", "same"), (9, "b", "same"), (9, "b", "same"),
+            (1, "a", "other"), (4, "c", "other"), (9, "b", "alone"), (2, "d", "own"), (2, "d", "own"), (None, "e", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    largest = {}
+    for page, _, text in rows:
+        largest[text] = max(largest.get(text, 0), page or 0)
+    want = collections.Counter((page, url, text.encode(), largest[text] if page and page != largest[text] else None)
+                               for page, url, text in rows)
+    for share in (1, 1000):
+        got = warc.with_revisits(pages, heavy_share=share).collect()
+        assert collections.Counter((r.page_id, r.url, bytes(r.payload), r.refers_to) for r in got) == want
+
+
 def test_search(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8))
