@@ -16,8 +16,8 @@ other node there has bound what a node can share with any: most outsiders are ou
 alone. The rest are compared with pivots chosen by hash. What is still apart in a bucket is joined on
 its rarest shingles: with each set ordered from its rarest shingle on, the first shingle two similar
 sets share stands so early in both that enough of either follows it. Copies of one text differ in
-their rare shingles, so few pairs pass, and none that could be linked is lost. No list of all pairs
-of a group is made.
+their rare shingles, so few pairs pass, and none that could be linked is lost. Sets of which all
+shingles are frequent are still looked at in pairs there, in blocks, by their sizes and places alone.
 
 Defined cases: null texts and texts without words have no shingle and are linked with nothing; with
 fewer than five words the whole sequence is the one shingle; rows without id are linked with nothing
@@ -41,6 +41,8 @@ COORDS = 128
 BAND = 4
 PERCENT = 75
 PIVOT_ROUNDS = 2
+#: Nodes of one shingle in a block of the last join.
+CROWD = 1000
 
 _PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _LOW56 = np.uint64(8)
@@ -97,17 +99,22 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
     return key
 
 
+def _names(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each set: equal sets have equal sums, and the rows of an empty set no bucket."""
+    sums = np.zeros((2, len(sets) + 1), np.uint64)
+    np.cumsum(sets, out=sums[0, 1:])
+    np.cumsum(mix(sets * np.uint64(0xE7037ED1A0B428DB)), out=sums[1, 1:])
+    one, two = (mix(s[at[1:]] - s[at[:-1]]) for s in sums)
+    return one, two
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in byte_slices(batch.column(1)):
             sets, at = shingles(data, offsets)
             size = np.diff(at)
             keys = band_keys(sketches(sets, at))
-            # equal sets have equal sums, and the rows of an empty set no bucket
-            sums = np.zeros((2, len(sets) + 1), np.uint64)
-            np.cumsum(sets, out=sums[0, 1:])
-            np.cumsum(mix(sets * np.uint64(0xE7037ED1A0B428DB)), out=sums[1, 1:])
-            one, two = (mix(s[at[1:]] - s[at[:-1]]) for s in sums)
+            one, two = _names(sets, at)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, end - first).cast(pa.int64()), pa.array(size),
                  pa.array(signed(one)), pa.array(signed(two)),
@@ -121,10 +128,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, end, data, offsets in byte_slices(batch.column(1)):
             sets, at = shingles(data, offsets)
             raw = memoryview(sets.tobytes())
+            one, two = _names(sets, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, end - first),
+                [batch.column(0).slice(first, end - first), pa.array(np.diff(at)), pa.array(signed(one)),
+                 pa.array(signed(two)),
                  pa.array([bytes(raw[8 * a:8 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())],
-                          pa.binary())], names=["node", "shingles"])
+                          pa.binary())], names=["node", "n_shingles", "set_a", "set_b", "shingles"])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +153,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """``node, shingles`` of the nodes in ``asked``; only their texts are read again."""
+    """``node, shingles`` of the nodes in ``asked``, a row each; only their texts are read again.
+
+    An id may stand in several rows: a text that gives another set is not the node's, and of texts
+    that give its set one is kept.
+    """
     wanted = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "doc_id")
-    return cut(docs.select("doc_id", "text").join(wanted, "doc_id")
-               .select("node", "text").mapInArrow(_sets, "node long, shingles binary"))
+    found = cut(docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+                .mapInArrow(_sets, "node long, n_shingles long, set_a long, set_b long, shingles binary")
+                .where(F.col("node") == F.xxhash64("set_a", "set_b", "n_shingles")).select("node", "shingles"))
+    again = cut(found.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+    if not again.limit(1).count():
+        return found
+    return cut(found.join(again, "node", "left_anti")
+               .union(found.join(again, "node", "left_semi").dropDuplicates(["node"])))
 
 
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -182,6 +201,9 @@ def rare_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``at`` counts the rarer shingles of a set before one. Two sets share at most what is left of
     either from their first common shingle on, which must be enough for their sizes.
+
+    The pairs of nodes that share an early shingle are looked at where neither size rules them out;
+    the nodes of a frequent one are dealt to blocks of ``CROWD``, so no task has all its pairs.
     """
     rows = cut(sets.join(nodes.select("node"), "node", "left_semi").select("node", "shingles")
                .mapInArrow(_exploded, "node long, shingle long"))
@@ -192,14 +214,21 @@ def rare_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
              .where(100 * F.col("rest") >= PERCENT * F.col("n_shingles"))
              .select("shingle", "node", "n_shingles", "rest", "label"))
     early = cut(early)
-    mixed = (early.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-             .where("low < high").select("shingle"))
-    early = early.join(mixed, "shingle")
-    mates = early.select("shingle", F.col("node").alias("pivot"), F.col("n_shingles").alias("size"),
-                         F.col("rest").alias("rest_too"), F.col("label").alias("other"))
+    mixed = (early.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                          F.count("*").alias("n"))
+             .where("low < high").select("shingle", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks")))
+    # similar sizes are in one step or in neighbouring ones, as a step is a little wider than they may differ
+    early = early.join(mixed, "shingle").withColumn(
+        "step", F.floor(F.log("n_shingles") / float(np.log(100 / PERCENT * 1.001))))
+    left = early.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    mates = (early.select("shingle", F.col("node").alias("pivot"), F.col("n_shingles").alias("size"),
+                          F.col("rest").alias("rest_too"), F.col("label").alias("other"), "blocks",
+                          F.explode(F.array(F.col("step") - 1, "step")).alias("step"))
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
     enough = (PERCENT + 100) * F.least("rest", "rest_too") >= PERCENT * (F.col("n_shingles") + F.col("size"))
-    return _pairs(early.join(mates, "shingle").where(
-        (F.col("node") < F.col("pivot")) & (F.col("label") != F.col("other")) & enough))
+    smaller = F.struct("n_shingles", "node") < F.struct("size", "pivot")
+    return _pairs(left.join(mates, ["shingle", "step", "block"]).where(
+        smaller & (F.col("label") != F.col("other")) & _sizes("n_shingles", "size") & enough))
 
 
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:

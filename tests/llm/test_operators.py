@@ -189,6 +189,34 @@ def test_rare_pairs_lose_no_link(spark):
     assert fast_sketch.rare_pairs(packed, merged).count() == 0
 
 
+def test_rare_pairs_of_repeated_ids(spark, monkeypatch):
+    """An id in several rows, of equal and of other texts, is as good a partner as any."""
+    monkeypatch.setattr(fast_sketch, "CROWD", 2)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(6):
+        # about an eighth of each set is its own, at one end
+        rows += [(i, " ".join(base[:360] + [f"own{i}x{j}" for j in range(44)]))] * (1 + 2 * (i % 2))
+    rows += [(1, " ".join(f"else{j}" for j in range(300))), (3, " ".join(base[:100])), (5, None)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    names = (docs.mapInArrow(fast_sketch._sketch, "doc_id long, n_shingles long, set_a long, set_b long, "
+                                                  "bands array<long>").where("n_shingles > 0")
+             .groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
+             .withColumn("node", F.xxhash64("set_a", "set_b", "n_shingles")))
+    nodes = fast_sketch.cut(names)
+    sets = fast_sketch.sets_of(docs, nodes, nodes)
+    held = {r.node: set(np.frombuffer(r.shingles, np.uint64).tolist()) for r in sets.collect()}
+    known = {r.node: r.n_shingles for r in nodes.collect()}
+    assert sets.count() == len(held) == 8 and {n: len(s) for n, s in held.items()} == known
+    got = [(r.a, r.b) for r in fast_sketch.rare_pairs(
+        sets, nodes.select("node", "n_shingles", F.col("node").alias("label"))).collect()]
+    linked = {(a, b) for a in held for b in held
+              if a < b and 100 * len(held[a] & held[b]) >= 75 * len(held[a] | held[b])}
+    assert len(linked) == 15 and linked <= set(got) and len(set(got)) == len(got)
+
+
 def test_sketch_coordinates_agree_like_the_sets():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 400).astype(np.uint64)
