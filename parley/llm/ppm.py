@@ -9,6 +9,10 @@ it in the fewest bits; its score is that language's share when all are weighed b
 Counting uses at most ``max_rows`` texts of each language, taken in the order of a hash of the id.
 Scoring reads every text whole. ASCII letters are read in lower case.
 
+A share tells languages apart, not whether the text is in one at all. For that, ``limits`` codes texts
+with trees that have not counted them, and their first 4, 16, 64, ... bytes, and takes the spread of the bits a
+byte for each language and length; ``predict_fitting`` says whether a text stays within it.
+
 Defined cases: null, empty or letterless text is ``und`` with score 0; null languages teach nothing;
 languages with equal bits give the first by name; without any learnt language all is ``und``; a null
 id is predicted and teaches nothing; repeated rows are predicted alike.
@@ -24,9 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.arrays import LOWER, KeyIndex, byte_slices, scored, text_sums
+from parley.llm.arrays import LOWER, KeyIndex, byte_slices, in_fold, scored, text_sums
+from parley.session import cut
 
 MAX_ROWS = 2_000
+#: Lengths are told apart by powers of four; the limit lies above nine tenths of the texts by ``SPREADS``
+#: times the distance from the median to the third quartile. A language and length with fewer than ``LEAST_HELD``
+#: texts has no limit of its own and takes the nearest shorter one's, or none.
+LENGTHS = 10
+SPREADS = 16
+LEAST_SPREAD = 0.03  # of the median
+LEAST_HELD = 8
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -88,8 +100,12 @@ class Model:
         return text_sums(cost, offsets)
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> list:
+        return self.judge(data, offsets, {})[:2]
+
+    def judge(self, data: np.ndarray, offsets: np.ndarray, most: dict[str, np.ndarray]) -> list:
+        """Language and score of each text, and whether its bits a byte are within ``most``."""
         n = len(offsets) - 1
-        out, score = np.full(n, UNKNOWN, object), np.zeros(n)
+        out, score, fits = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, bool)
         good = has_letter(data, offsets)
         if self.langs and good.any():
             bits = self.bits(data, offsets)
@@ -98,7 +114,55 @@ class Model:
             share = 1 / (2.0 ** -gap).sum(axis=1)
             out[good] = np.array(self.langs, object)[best][good]
             score[good] = share[good]
-        return [out, score]
+            sizes = np.diff(offsets)
+            bound = np.array([most.get(name, np.full(LENGTHS, np.inf)) for name in self.langs])
+            rate = bits[np.arange(n), best] / np.maximum(sizes, 1)
+            fits[good] = (rate <= bound[best, length_class(sizes)])[good]
+        return [out, score, fits]
+
+
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    """The largest power of four that each size reaches, at most ``LENGTHS - 1``."""
+    powers = 4 ** np.arange(LENGTHS)
+    return np.maximum(np.searchsorted(powers, sizes, "right") - 1, 0)
+
+
+def limits(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> dict[str, np.ndarray]:
+    """Most bits a byte that a text of each language may take, by length class.
+
+    A quarter of the distinct texts, by id, is coded with trees counted on the others.
+    """
+    drawn = cut(sample(docs, learn, max_rows, ["doc_id"]).groupBy("lang", "text").agg(F.min("doc_id").alias("doc_id")))
+    held = in_fold(F.col("doc_id"), 4, 0)
+    model = fit(drawn, ~held, max_rows)
+    place = {name: i for i, name in enumerate(model.langs)}
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            for first, end, data, offsets in byte_slices(batch.column(1)):
+                good = has_letter(data, offsets)
+                for i in range(end - first):
+                    lang, text = langs[first + i], data[offsets[i]:offsets[i + 1]]
+                    if lang not in place or not good[i]:
+                        continue
+                    ends = 4 ** np.arange(length_class(np.array([len(text)]))[0] + 1)
+                    starts = np.r_[0, np.cumsum(ends)]
+                    bits = model.bits(np.concatenate([text[:e] for e in ends]), starts)[:, place[lang]] / ends
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(ends), pa.string()), pa.array(np.arange(len(ends))),
+                         pa.array(bits.astype(np.float64))], names=["lang", "length", "rate"])
+
+    spread = (drawn.where(held).select("lang", "text").mapInArrow(rates, "lang string, length long, rate double")
+              .groupBy("lang", "length").agg(F.count("*").alias("n"),
+                                             F.percentile("rate", F.array(*map(F.lit, (0.5, 0.75, 0.9)))).alias("q"))
+              .collect())  # LENGTHS rows a language
+    out: dict[str, np.ndarray] = {}
+    for r in sorted(spread, key=lambda r: (r.lang, r.length)):
+        if r.n >= LEAST_HELD:
+            bound = r.q[2] + SPREADS * max(r.q[1] - r.q[0], LEAST_SPREAD * r.q[0])
+            out.setdefault(r.lang, np.full(LENGTHS, np.inf))[r.length:] = bound
+    return out
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -110,14 +174,14 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``lang, text`` of at most ``max_rows`` rows of each language."""
+def sample(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS, more: list[str] = []) -> DataFrame:
+    """``lang, text`` (and the columns ``more``) of at most ``max_rows`` rows of each language."""
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     drawn = (docs.where("lang is not null and text is not null").where(learn)
              .select("doc_id", "lang").withColumn("nth", F.row_number().over(by_hash))
              .where(F.col("nth") <= max_rows).select("doc_id", "lang").distinct())
     return (docs.select("doc_id", "lang", "text").where("text is not null")
-            .join(F.broadcast(drawn), ["doc_id", "lang"]).select("lang", "text"))
+            .join(F.broadcast(drawn), ["doc_id", "lang"]).select("lang", "text", *more))
 
 
 def fit(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> Model:
@@ -185,3 +249,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str], lang: str = "lang_pr
             score: str = "score", text: str = "text") -> DataFrame:
     """``keep`` columns, the predicted language of every row and its score."""
     return scored(docs, keep, text, f"`{lang}` string, `{score}` double", model.predict)
+
+
+def predict_fitting(docs: DataFrame, model: Model, most: dict[str, np.ndarray], keep: list[str], lang: str,
+                    score: str, fits: str, text: str = "text") -> DataFrame:
+    """As ``predict``, with whether each text is within the limits of its language."""
+    return scored(docs, keep, text, f"`{lang}` string, `{score}` double, `{fits}` boolean",
+                  lambda data, offsets: model.judge(data, offsets, most))

@@ -312,6 +312,23 @@ def test_language(spark, empty):
     assert ppm.predict(docs, none, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_stage_rejects_foreign_text_and_noise(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = {"aa": "the and thing some where house water under light paper".split(),
+             "bb": "der über nicht haus wasser unter licht papier wenn doch".split()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(30, 90))), lang)
+            for i, lang in enumerate(["aa", "bb"] * 100)]
+    foreign = " ".join(rng.choices("gdzie książka żółty przyszłość czyżby właśnie".split(), k=50))
+    noise = "".join(rng.choices("qxzjkvwypfbghm0123456789#%&*", k=400))
+    rows += [(900, foreign, None), (901, noise, None), (902, "12 + 3", None), (903, "water under paper", None),
+             (904, " ".join(rng.choices(words["bb"], k=40)), "aa"), (None, "der haus unter wasser", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, "").select("doc_id").collect()]
+    assert set(kept) == {r[0] for r in rows} - {900, 901, 902} and len(kept) == len(rows) - 3
+
+
 def test_code_lengths_are_those_of_the_trees(spark):
     """Bits of one text by walking the contexts byte by byte."""
     train, text = "abracadabra abra", "abrab zz"
