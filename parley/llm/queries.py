@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
-    chunk_reuse, fast_sketch, host_suffix, iblt, learned_parts, maxent, packing, ppm, toxicity, warc, word_tokens,
+    chunk_reuse, fast_sketch, host_suffix, iblt, learned_parts, maxent, merkle, packing, ppm, toxicity, warc, word_tokens,
 )
 from parley.llm.arrays import in_fold, learnt_from
 
@@ -104,3 +104,69 @@ def op7_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.floor(F.crc32(doc_id.cast("string")) / 7)
     return (maxent.scores(table(spark, sf_dir, "documents"), learnt_from(doc_id, 7, 2), turn)
             .withColumn("held_out", in_fold(doc_id, 7, 2)))
+
+
+def _crc_table() -> str:
+    """The table of crc32, from its polynomial, as ``crc(t)``."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(str(x))
+    return f"crc AS (SELECT [{', '.join(out)}]::BIGINT[] AS t)"
+
+
+def _sql_crc32(text: str) -> str:
+    """crc32 of a text of one-byte letters; needs ``crc`` among the tables."""
+    letters = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {letters}), "
+            f"lambda x, b: xor(t[(xor(x, b) & 255) + 1], x >> 8)))")
+
+
+def _sql_field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}, '-')"
+
+
+def _sql_levels(name: str, bottom: str, key: str) -> str:
+    return f"""{name} AS (
+  SELECT {key}0 AS k, {bottom}
+  UNION ALL
+  SELECT {key}k + 1, list_transform(range(0, (len(nodes) + 1) // 2),
+    lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM {name} WHERE len(nodes) > 1)"""
+
+
+_LEAF = " || ".join(_sql_field(c) for c in merkle.FIELDS)
+ORACLES["op11_block_string_merkle"] = f"""
+WITH RECURSIVE {_crc_table()},
+hashed AS (SELECT doc_id, lang, sha256({_LEAF}) AS leaf,
+  sha256(CASE WHEN {_sql_crc32('doc_id::VARCHAR')} % 7 = 0 THEN {_LEAF.replace('n_chars', '(n_chars + 1)')}
+         ELSE {_LEAF} END) AS now FROM documents, crc),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+{_sql_levels('up', 'list(leaf ORDER BY pos) AS nodes FROM leaves GROUP BY lang', 'lang, ')},
+subroots AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos
+             FROM up WHERE len(nodes) = 1),
+{_sql_levels('top', 'list(subroot ORDER BY pos) AS nodes FROM subroots', '')},
+steps AS (
+  SELECT l.lang, l.pos, 0 AS tier, k, l.pos >> k AS own, nodes
+  FROM leaves l JOIN up ON l.lang IS NOT DISTINCT FROM up.lang AND len(nodes) > 1
+  UNION ALL
+  SELECT l.lang, l.pos, 1, k, s.pos >> k, nodes
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN top ON len(nodes) > 1),
+paths AS (SELECT lang, pos, list({{'odd': own & 1, 'h': coalesce(nodes[xor(own, 1) + 1], '')}} ORDER BY tier, k) AS path
+          FROM steps GROUP BY lang, pos),
+proved AS (
+  SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root, coalesce(path, []) AS path, now
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN paths p ON l.lang IS NOT DISTINCT FROM p.lang AND l.pos = p.pos)
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_prepend('', list_transform(path, lambda x: x.h)), 'string_agg', ''))
+         AS proof_sha256,
+       list_reduce(list_prepend({{'odd': 0::BIGINT, 'h': now}}, path), lambda made, x: {{'odd': 0::BIGINT,
+         'h': sha256(CASE WHEN x.odd = 1 THEN x.h || made.h ELSE made.h || x.h END)}}).h AS folded_root,
+       folded_root = root AS verified
+FROM proved
+"""
+
+
+@query
+def op11_block_string_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
