@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
-    chunk_reuse, fast_sketch, host_suffix, iblt, learned_parts, maxent, merkle, packing, ppm, toxicity, warc, word_tokens,
+    chunk_reuse, fast_sketch, host_suffix, iblt, learned_parts, maxent, merkle, packing, ppm, run_index, toxicity,
+    warc, word_tokens,
 )
 from parley.llm.arrays import in_fold, learnt_from
 
@@ -170,3 +171,28 @@ FROM proved
 @query
 def op11_block_string_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_run_index_dedup"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT r, doc_id, h, unnest(range(len(h) // 2)) AS i FROM docs),
+strings AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, {2 * run_index.LENGTH}) AS s FROM places
+            WHERE 2 * (i + {run_index.LENGTH}) <= len(h)),
+least AS (SELECT s, min(doc_id) AS owner FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT r, i FROM strings JOIN least USING (s) WHERE owner < doc_id),
+marked AS (SELECT p.r, p.i, substr(h, 2 * p.i + 1, 2) AS b, coalesce(p.i - max(hits.i) OVER (
+             PARTITION BY p.r ORDER BY p.i) < {run_index.LENGTH}, false) AS gone
+           FROM places p LEFT JOIN hits ON p.r = hits.r AND p.i = hits.i),
+turned AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS starts FROM marked),
+summed AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans,
+             string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM turned GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN summed USING (r)
+"""
+
+
+@query
+def op12_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_index.without_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return found.withColumnRenamed("kept", "kept_sha256")
