@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
-    chunk_reuse, fast_sketch, host_suffix, iblt, learned_parts, maxent, merkle, packing, ppm, run_index, toxicity,
-    warc, word_tokens,
+    chunk_reuse, conversation_repair, fast_sketch, host_suffix, iblt, learned_parts, maxent, merkle, packing, ppm,
+    run_index, toxicity, warc, word_tokens,
 )
 from parley.llm.arrays import in_fold, learnt_from
 
@@ -196,3 +196,76 @@ FROM docs LEFT JOIN summed USING (r)
 def op12_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = run_index.without_repeats(table(spark, sf_dir, "documents"), texts=False)
     return found.withColumnRenamed("kept", "kept_sha256")
+
+
+def _sql_repair() -> str:
+    """Forward search over the rows of a conversation: the best (cost, audit, text) of each state."""
+    never = "{'c': 1000000000, 'a': '', 'b': ''}"
+
+    def step(state: str, cost: str, letter: str, line: str = "''") -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'b': {state}.b || {line}}}"
+
+    def best(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def inserted(table: str) -> str:
+        user = best("s2", *[step(s, "3", "I", "chr(10) || 'user:'") for s in ("s0", "s1", "s3")])
+        return (f"SELECT * REPLACE ({best('s3', step('s2', '3', 'I', "chr(10) || 'assistant:'"))} AS s3) "
+                f"FROM (SELECT * REPLACE ({user} AS s2) FROM {table})")
+
+    more = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN fresh AND initial = '{initial}' THEN {step(state, more, 'K', 'chr(10) || line')} ELSE {never} END"
+
+    def given(state: str, role: str) -> str:
+        return f"CASE WHEN fresh THEN {step(state, '3 + ' + more, 'R', f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} ELSE {never} END"
+
+    users = [f(s, x) for s in ("s0", "s1", "s3") for f, x in ((kept, "u"), (given, "user"))]
+    moved = f"""{step('s0', '4', 'D')} AS s0, {best(step('s1', '4', 'D'), kept('s0', 's'))} AS s1,
+      {best(step('s2', '4', 'D'), *users)} AS s2,
+      {best(step('s3', '4', 'D'), kept('s2', 'a'), given('s2', 'assistant'))} AS s3"""
+    plain = "coalesce({0}::VARCHAR, ' ')"
+    space = r"[\t-\r ]"
+    return f"""
+WITH RECURSIVE {_crc_table()},
+hurt AS (SELECT conv_id, turn, {plain.format('role')} AS role, {plain.format('text')} AS text,
+           {_sql_crc32(plain.format('conv_id') + " || ':' || " + plain.format('turn'))} % 20 AS k FROM conversations, crc),
+left_over AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+           CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM hurt WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+             left(role, 1) AS initial, role || ':' || text AS line,
+             regexp_replace(text, '{space}+$', '') AS body FROM left_over),
+judged AS (SELECT *, CASE WHEN regexp_full_match(text, '{space}*') THEN 'blank'
+             WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+             WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             fault NOT IN ('blank', 'duplicate') AS fresh,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+              count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+              count(*) FILTER (fault = 'truncated') AS truncated,
+              count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, 0 AS i, {{'c': 0, 'a': '', 'b': ''}} AS s0, {never} AS s1, {never} AS s2, {never} AS s3 FROM counted
+  UNION ALL
+  SELECT conv_id, i + 1, {moved}
+  FROM (SELECT w.*, j.text, j.line, j.initial, j.fault, j.fresh FROM ({inserted('walk')}) w
+        JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = w.i + 1)),
+ends AS (SELECT w.conv_id, {best('s0', 's3')} AS s FROM ({inserted('walk')}) w
+         JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(s.c, 0)::BIGINT AS cost,
+  coalesce(s.a, '') AS audit, sha256(coalesce(s.b[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+ORACLES["op13_rank_convergence_repair"] = _sql_repair()
+
+
+@query
+def op13_rank_convergence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
