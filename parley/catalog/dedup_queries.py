@@ -8,9 +8,10 @@ from parley.catalog.fixture import dialogues, over_dialogues, table
 from parley.catalog.registry import query
 from parley.functions.hashing import content_hash, fingerprint, record_hash
 from parley.functions.vectors import norm
-from parley.operators import dedup, similarity, survivors
+from parley.operators import dedup, similarity, survivors, vector_index
 from parley.operators.joins import seen, split_by_ids, unseen
 from parley.operators.shape import base_conversation, seeds_from_rows
+from parley.session import scratch_path
 
 THRESHOLD = 0.4  # high enough to have few pairs, low enough to have some in the given vectors
 
@@ -165,13 +166,36 @@ def max_similarity(spark, sf_dir):
     return found.select(F.col("id").alias("vec_id"), F.round("sim", 6).alias("max_sim"))
 
 
+def _stored_index(spark, sf_dir):
+    """An index of small cells, one folder each, and four fifths of them as the number to visit."""
+    index = vector_index.build(vectors(spark, sf_dir), scratch_path(spark, "index"), leaf_rows=128, shard_rows=32)
+    return index, max(1, index.cells().count() * 4 // 5)
+
+
 @query("approx_neighbours")
 def approx_neighbours(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    found = similarity.trained_neighbours(rows, k=50, cells=1000, probes=50)
+    index, probes = _stored_index(spark, sf_dir)
+    found = index.search(vectors(spark, sf_dir), 50, probes)
     return found.select(F.col("id").alias("vec_id"), "nbr", F.round("sim", 6).alias("sim"), "rank")
 
 
+@query("approx_recall", """
+  SELECT count(*) AS vectors, true AS recall_reached, true AS cells_left_out, true AS no_false_likeness
+  FROM embeddings""")
+def approx_recall(spark, sf_dir):
+    """Whether the stored index finds nine tenths of the ten nearest without visiting all cells."""
+    index, probes = _stored_index(spark, sf_dir)
+    rows = vectors(spark, sf_dir)
+    found = index.search(rows, 10, probes)
+    exact = similarity.nearest_neighbours(rows, 10)
+    both = exact.select("id", "nbr", F.col("sim").alias("likeness")).join(
+        found.select("id", "nbr", "sim"), ["id", "nbr"], "left")
+    return both.agg(
+        F.count_distinct("id").alias("vectors"), (F.count("sim") >= 0.9 * F.count("*")).alias("recall_reached"),
+        (F.lit(probes) < index.cells().count()).alias("cells_left_out"),
+        F.coalesce(F.every(F.abs(F.col("sim") - F.col("likeness")) < 1e-9), F.lit(True)).alias("no_false_likeness"))
+
+
 @query("semantic_dedup", greedy_sql(
     "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     """SELECT id AS vec_id, rn NOT IN (SELECT rn FROM survivors) AS is_duplicate FROM numbered"""))
@@ -180,6 +204,15 @@ def semantic_dedup(spark, sf_dir):
         table(spark, sf_dir, "embeddings"), "vec_id", "embedding", THRESHOLD)
 
 
+@query("semantic_dedup_in_cells", greedy_sql(
+    "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
+    """SELECT id AS vec_id, rn NOT IN (SELECT rn FROM survivors) AS is_duplicate FROM numbered"""))
+def semantic_dedup_in_cells(spark, sf_dir):
+    """The same on the path that larger tables take."""
+    return dedup.flag_semantic_duplicates(
+        table(spark, sf_dir, "embeddings"), "vec_id", "embedding", THRESHOLD, small_values=0, cells=8)
+
+
 @query("negative_id_dedup", greedy_sql(
     "SELECT vec_id - 1000 AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "SELECT id, rn IN (SELECT rn FROM survivors) AS kept FROM numbered"))

@@ -214,7 +214,8 @@ def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
     """Hits of the queries ``q`` among the candidates ``c``.
 
     ``mode`` is "nearest" (the k most similar, ties by id) or "earlier" (one witness at or above
-    the threshold that stands before the query: settled ones first, then the smallest id).
+    the threshold that stands before the query: settled ones first, then the smallest id). Where
+    both sides have a ``home``, "earlier" looks at rows of another one only.
     """
     qid = q["id"].to_numpy()
     cid = c["id"].to_numpy()
@@ -222,6 +223,9 @@ def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
     cid, cvec = cid[order], to_matrix(c["vec"])[order]
     settled = c["settled"].to_numpy()[order].astype(bool) if "settled" in c.schema.names else None
     qvec = to_matrix(q["vec"])
+    homes = None
+    if "home" in q.schema.names and "home" in c.schema.names:
+        homes = q["home"].to_numpy(), c["home"].to_numpy()[order]
     out_q, out_n, out_s, out_f = [], [], [], []
     for at in range(0, len(qid), 1024):
         ids = qid[at:at + 1024]
@@ -240,6 +244,8 @@ def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
             rows, cols = rows[keep], cols[keep]
         else:
             hit = (sims >= task["threshold"]) & (cid[None, :] < ids[:, None])
+            if homes is not None:
+                hit &= homes[0][at:at + 1024, None] != homes[1][None, :]
             rows = np.nonzero(hit.any(axis=1))[0]
             cols = hit[rows].argmax(axis=1)
             if settled is not None and settled.any():
@@ -266,7 +272,8 @@ def against_small(queries: DataFrame, candidates: pa.Table, task: dict) -> DataF
                 found = _best(task, pa.Table.from_batches([batch]), shared.value)
                 yield from found.to_batches()
 
-    return queries.select("id", "vec").mapInArrow(scan, HIT_SCHEMA)
+    home = ["home"] if "home" in queries.columns else []
+    return queries.select("id", "vec", *home).mapInArrow(scan, HIT_SCHEMA)
 
 
 def in_blocks(queries: DataFrame, candidates: DataFrame, stats: CellStats, task: dict,
@@ -466,6 +473,7 @@ def earlier_witness(
     placed = candidates if "cell" in candidates.columns else place(candidates, pivots)
     stats = cell_stats(placed, pivots.cells)
     angle = math.acos(min(1.0, max(-1.0, threshold)))
-    visits = cut(probe(queries.select("id", "vec").withColumn("reach", F.lit(angle)),
+    home = ["home"] if "home" in queries.columns else []
+    visits = cut(probe(queries.select("id", "vec", *home).withColumn("reach", F.lit(angle)),
                        pivots, stats, "reach", probes).drop("reach"))
     return in_blocks(visits, placed.drop("angle"), stats, task, block_rows)

@@ -1,13 +1,22 @@
 """Greedy survivors of a similarity relation, in row order.
 
 Visited in order, a row survives unless a surviving earlier row is at or above the threshold.
-Run in rounds: a row none of whose remaining earlier rows is near survives; a row near a
-survivor goes; the others wait. A round needs only *one* near earlier row per waiting row, so no
-list of pairs ever exists, however many copies a group has.
+Run in rounds over blocks of rows. Inside a block the rows are visited in order at once: a row near a
+survivor goes, a row near one that still waits, here or in another block, waits, and any other
+survives. Then survivors remove what is near them in other blocks. So a chain of near rows costs a
+round only where it crosses from one block to another, and a round needs only *one* near earlier row
+of another block per waiting row: no list of pairs ever exists, however many copies a group has.
+
+Rows that are counted to fit into every task are cut into blocks by their order and meet as one
+matrix per block; beyond that a block is a part of a cell (see ``similarity``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +24,8 @@ from parley.operators import similarity as sim
 from parley.session import cut
 
 LEADERS = 2048
+ORDER_BLOCK = 1024  # rows of a block where all rows fit into every task
+WAITING, KEPT, REMOVED = 0, 1, 2
 
 
 def greedy_survivors(
@@ -45,29 +56,29 @@ def greedy_survivors(
         pivots = sim.pick_pivots(waiting, cells or sim.default_cells(waiting.count()))
         waiting = sim.place(waiting, pivots)
         kept = [sim.place(k, pivots) for k in kept]
+    if pivots is None:
+        return _answer(rows, low, _settle_small(waiting, kept, threshold))
     leaders = min(leaders, max(1, sim.SMALL_VALUES // max(dimension, 1)))
     search = {"probes": probes, "pivots": pivots, "block_rows": block_rows}
-    task = {"mode": "earlier", "threshold": float(threshold)}
-    fresh = kept[-1] if kept else None
+    waiting = cut(_with_home(waiting, block_rows))
+    fresh, kept = kept[-1] if kept else None, []
     while not waiting.isEmpty():
-        if pivots is None:
-            # all rows were counted to fit, and the rest only shrinks
-            found = sim.against_small(waiting, _pool(waiting, kept).toArrow(), task)
-            judged = _judge(waiting, cut(found.drop("sim")))
-            waiting = judged.where("status = 'waiting'").drop("status")
-            kept.append(judged.where("status = 'kept'").drop("status"))
-            continue
         if fresh is not None:
-            near = sim.earlier_witness(waiting, fresh, threshold, small_values=small_values, **search)
+            near = sim.earlier_witness(waiting.drop("home"), fresh, threshold, small_values=small_values, **search)
             waiting = cut(waiting.join(near.select("id").distinct(), "id", "left_anti"))
-        blocked = _blocked(waiting, threshold, leaders, search)
-        fresh = cut(waiting.join(blocked, "id", "left_anti"))
-        waiting = cut(waiting.join(blocked, "id", "left_semi"))
+        judged = cut(_settle_blocks(waiting, threshold, leaders, search))
+        fresh = judged.where(F.col("status") == KEPT).drop("status", "home")
+        waiting = judged.where(F.col("status") == WAITING).drop("status")
         kept.append(fresh)
     survivors = None
     for part in kept:
         part = part.where("id >= 0").select("id", F.lit(True).alias("kept"))
         survivors = part if survivors is None else survivors.unionByName(part)
+    return _answer(rows, low, survivors)
+
+
+def _answer(rows: DataFrame, low: int, survivors: DataFrame | None) -> DataFrame:
+    """(id, kept) of all rows from (id, kept) of those that survive."""
     if survivors is None:  # no usable vector at all
         return rows.select((F.col("id") + low).alias("id"), F.lit(True).alias("kept"))
     return rows.join(survivors, "id", "left").select(
@@ -82,25 +93,86 @@ def _pool(waiting: DataFrame, kept: list[DataFrame]) -> DataFrame:
     return pool
 
 
-def _blocked(waiting: DataFrame, threshold: float, leaders: int, search: dict) -> DataFrame:
-    """Ids of the waiting rows that have a near earlier row among the waiting ones."""
-    # The earliest waiting row of each cell, and the earliest of all, settle large groups of near
-    # copies without a full search: such a group spans many cells and every member follows a head.
-    heads = waiting.groupBy("cell").agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec"))
-    heads = heads.select("id", "vec").unionByName(
-        waiting.orderBy("id").limit(leaders).select("id", "vec"))
+def visit_in_order(near: np.ndarray, waits: np.ndarray) -> np.ndarray:
+    """Status of a block's rows: ``near`` pairs (row, earlier row), ``waits`` on a row elsewhere."""
+    status = np.full(len(near), WAITING)
+    for i in range(len(near)):
+        earlier = status[:i][near[i, :i]]
+        if (earlier == KEPT).any():
+            status[i] = REMOVED
+        elif not waits[i] and (earlier == REMOVED).all():
+            status[i] = KEPT
+    return status
+
+
+def _settle_small(waiting: DataFrame, kept: list[DataFrame], threshold: float) -> DataFrame:
+    """(id, kept) of the survivors, where all rows were counted to fit into every task.
+
+    The rows go out once, in order; a round sends one byte of status a row and gets one back.
+    """
+    spark = waiting.sparkSession
+    _, table = sim.fetch_matrix(_pool(waiting, kept))
+    ids, x = table["id"].to_numpy(), sim.to_matrix(table["vec"])
+    status = np.where(table["settled"].to_numpy(zero_copy_only=False), KEPT, WAITING).astype("int8")
+    shared = spark.sparkContext.broadcast(x)
+    while (status == WAITING).any():
+        now = status.copy()
+        starts = [at for at in range(0, len(now), ORDER_BLOCK) if (now[at:at + ORDER_BLOCK] == WAITING).any()]
+
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in batch.column(0).to_pylist():
+                    rows = at + np.flatnonzero(now[at:at + ORDER_BLOCK] == WAITING)
+                    mine, before = shared.value[rows], np.flatnonzero(now[:at] != REMOVED)
+                    gone, waits = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+                    for first in range(0, len(before), 8192):
+                        some = before[first:first + 8192]
+                        near = mine @ shared.value[some].T >= threshold
+                        gone |= near[:, now[some] == KEPT].any(axis=1)
+                        waits |= near[:, now[some] == WAITING].any(axis=1)
+                    inside = at + np.flatnonzero(now[at:at + ORDER_BLOCK] == KEPT)
+                    near = mine @ shared.value[inside].T >= threshold
+                    gone |= (near & (inside < rows[:, None])).any(axis=1)
+                    found = np.full(len(rows), REMOVED)
+                    left = np.flatnonzero(~gone)
+                    found[left] = visit_in_order(mine[left] @ mine[left].T >= threshold, waits[left])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(found)], names=["row", "status"])
+
+        blocks = spark.createDataFrame([(at,) for at in starts], "at long").repartition(len(starts))
+        found = blocks.mapInArrow(visit, "row long, status long").toArrow()
+        status[found["row"].to_numpy()] = found["status"].to_numpy()
+    survivors = ids[(status == KEPT) & (ids >= 0)].tolist()
+    return spark.createDataFrame([(i,) for i in survivors], "id long").withColumn("kept", F.lit(True))
+
+
+def _with_home(placed: DataFrame, block_rows: int) -> DataFrame:
+    """Add ``home``, the block of a row: a part of its cell of about ``block_rows`` rows."""
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
+    return placed.join(F.broadcast(sizes), "cell").withColumn(  # one row per pivot
+        "home", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), "parts")).drop("parts")
+
+
+def _settle_blocks(waiting: DataFrame, threshold: float, leaders: int, search: dict) -> DataFrame:
+    """``waiting`` with the ``status`` that its rows get in this round."""
+    # The earliest waiting row of each cell, and the earliest of all, tell of most rows that they wait
+    # without a full search: a large group of near copies spans many blocks and follows its heads.
+    heads = waiting.groupBy("cell").agg(F.min("id").alias("id"), F.min_by("vec", "id").alias("vec"),
+                                        F.min_by("home", "id").alias("home"))
+    heads = heads.select("id", "vec", "home").unionByName(
+        waiting.orderBy("id").limit(leaders).select("id", "vec", "home")).distinct()
     task = {"mode": "earlier", "threshold": float(threshold)}
     early = cut(sim.against_small(waiting, heads.toArrow(), task).select("id").distinct())
     rest = waiting.join(early, "id", "left_anti")
     late = sim.earlier_witness(rest, waiting, threshold, small_values=0, **search)
-    return cut(late.select("id").distinct().unionByName(early))
+    waits = cut(late.select("id").distinct().unionByName(early))
+    marked = waiting.join(waits.withColumn("waits", F.lit(True)), "id", "left").withColumn(
+        "waits", F.coalesce("waits", F.lit(False)))
 
+    def settle(block: pa.Table) -> pa.Table:
+        block = block.sort_by("id")
+        x = sim.to_matrix(block["vec"])
+        status = visit_in_order(x @ x.T >= threshold, block["waits"].to_numpy(zero_copy_only=False))
+        return block.drop_columns("waits").append_column("status", pa.array(status.astype("int32")))
 
-def _judge(waiting: DataFrame, found: DataFrame) -> DataFrame:
-    """Waiting rows with their ``status``: kept without a witness, removed by a kept one."""
-    new = waiting.select("id").join(found, "id", "left_anti").select(
-        F.col("id").alias("nbr"), F.lit(True).alias("nbr_kept"))
-    verdict = found.join(new, "nbr", "left").select("id", F.when(
-        F.col("firm") | F.col("nbr_kept"), "removed").otherwise("waiting").alias("status"))
-    return cut(waiting.join(verdict, "id", "left").withColumn(
-        "status", F.coalesce("status", F.lit("kept"))))
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in waiting.schema.fields]
+    return marked.select(*waiting.columns, "waits").groupBy("home").applyInArrow(settle, ", ".join([*names, "status int"]))
