@@ -167,9 +167,9 @@ def max_similarity(spark, sf_dir):
 
 
 def _stored_index(spark, sf_dir):
-    """An index of small cells, one folder each, and four fifths of them as the number to visit."""
+    """An index of small cells, one folder each, and nine tenths of them as the number to visit."""
     index = vector_index.build(vectors(spark, sf_dir), scratch_path(spark, "index"), leaf_rows=128, shard_rows=32)
-    return index, max(1, index.cells().count() * 4 // 5)
+    return index, max(1, index.cells().count() * 9 // 10)
 
 
 @query("approx_neighbours")
