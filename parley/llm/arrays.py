@@ -87,11 +87,10 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         first = end
 
 
-def prefix_hashes(data: np.ndarray, codes: np.ndarray | None = None) -> np.ndarray:
-    """Running sums from which the hash of any stretch follows."""
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Running sums from which a hash of any stretch follows; good for places to cut, not for identity."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    codes = _byte_codes() if codes is None else codes
-    np.cumsum(codes[data] * _power_tables(len(data))[0], out=sums[1:])
+    np.cumsum(_byte_codes()[data] * _power_tables(len(data))[0], out=sums[1:])
     return sums
 
 
@@ -100,6 +99,28 @@ def stretch_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
     return mix((sums[end] - sums[begin]) * _power_tables(len(sums))[1][begin])
 
 
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes, eight bytes at a time.
+
+    Each eight are mixed with their place before they are summed, so no shift, sum or product of
+    bytes makes two stretches meet, as there are for sums of powers modulo 2**64.
+    """
+    size = end - begin
+    blocks = (size + 7) >> 3
+    ends = np.cumsum(blocks)
+    of = np.repeat(np.arange(len(size)), blocks)
+    place = np.arange(len(of)) - (ends - blocks)[of]
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    eight = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))[begin[of] + 8 * place]
+    rest = np.minimum(size[of] - 8 * place, 8).astype(np.uint64)
+    eight &= np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * rest)
+    keys = mix(np.arange(1, int(blocks.max(initial=0)) + 1, dtype=np.uint64) * _ODD)
+    sums = np.zeros(len(of) + 1, np.uint64)
+    np.cumsum(mix(eight ^ keys[place]), out=sums[1:])
+    return mix(sums[ends] - sums[ends - blocks] + size.astype(np.uint64) * _ODD)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of all words in order, and where each text's words begin (one entry more than texts).
 
@@ -117,8 +138,7 @@ def words(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple[
     starts[edge] = solid[edge]
     ends[edge - 1] = solid[edge - 1]
     begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    sums = prefix_hashes(data, _byte_codes()[LOWER])
-    hashes = mix(stretch_hashes(sums, begin, end) + (end - begin).astype(np.uint64) * _ODD)
+    hashes = span_hashes(LOWER[data], begin, end)
     at = np.searchsorted(begin, offsets)
     return (hashes, at, begin, end - begin) if places else (hashes, at)
 
@@ -148,14 +168,14 @@ def learnt_from(doc_id: Column, folds: int, held: int) -> Column:
 
 
 def scored(df: DataFrame, keep: list[str], text: str, fields: str,
-           scorer: Callable[[np.ndarray, np.ndarray], list]) -> DataFrame:
+           scorer: Callable[[np.ndarray, np.ndarray], list], limit: int = SLICE_BYTES) -> DataFrame:
     """``keep`` columns beside what ``scorer`` finds from the bytes of each slice of texts."""
     schema = StructType([df.schema[c] for c in keep] + list(StructType.fromDDL(fields)))
     kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in byte_slices(batch.column(len(keep))):
+            for first, end, data, offsets in byte_slices(batch.column(len(keep)), limit):
                 found = scorer(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(first, end - first) for i in range(len(keep))]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from parley.llm import word_tokens
-from parley.llm.arrays import SPACE, byte_slices, mix, prefix_hashes, stretch_hashes
+from parley.llm.arrays import SPACE, byte_slices, prefix_hashes, span_hashes, stretch_hashes
 
 WINDOW = 48
 MEAN_BYTES = 2048
@@ -90,8 +90,7 @@ class ChunkEncoder:
         body_from = np.where(text_start & (inner | text_end), starts, body_from)
         body_to = np.where(text_end & (inner | text_start), ends, body_to)
         inner |= text_start & text_end
-        sums = prefix_hashes(data)
-        keys = mix(stretch_hashes(sums, body_from, body_to) + (body_to - body_from).astype(np.uint64))
+        keys = span_hashes(data, body_from, body_to)
         bodies: list[np.ndarray | None] = []
         missing: dict[int, int] = {}
         for i, key in enumerate(keys.tolist()):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.arrays import byte_slices, mix, prefix_hashes, stretch_hashes
+from parley.llm.arrays import byte_slices, mix, span_hashes
 
 CELLS = 8  # in each of three tables of a fingerprint; a power of two
 TABLES = 3
@@ -58,7 +58,7 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     end = end - (data[end - 1] == 10)
     full = end > begin
     begin, end = begin[full], end[full]
-    keys = mix(stretch_hashes(prefix_hashes(data), begin, end) + (end - begin).astype(np.uint64) * _ODD)
+    keys = span_hashes(data, begin, end)
     text = np.searchsorted(offsets, begin, "right") - 1
     order = np.lexsort((keys, text))
     keys, text = keys[order], text[order]

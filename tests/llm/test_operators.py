@@ -470,3 +470,32 @@ def test_pipeline_stages(spark, tmp_path, docs):
         if name != "packing":
             assert table.columns == before.columns
     assert table.count() > 0
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two texts that every sum of powers modulo 2**64 takes for one."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_and_paragraphs_do_not_meet_in_their_hashes(spark):
+    one, other = thue_morse(2048)
+    texts = [one, other, *(" ".join([w] * 8) for w in (one, other))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    found = {r.doc_id: r.ids for r in chunk_reuse.encode(df, PATH).collect()}
+    assert [found[i] for i in range(4)] == ids
+    packed = {}
+    for r in packing.pack(df, PATH).collect():
+        packed.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i in range(4):
+        for start, length, crc in packed[i]:
+            assert zlib.crc32(np.array([*ids[i], 1][start:start + length], "<u4").tobytes()) == crc
+    assert all(r.kept for r in fast_sketch.near_duplicates(df).collect())
+    prints = {r.doc_id: r.fingerprint for r in iblt.fingerprints(df).collect()}
+    assert len(set(prints.values())) == 4
+    known = maxent.scores(df, F.col("doc_id") == 0, F.lit(0)).orderBy("doc_id").collect()
+    assert [r.n_known for r in known][:2] == [2, 1]
