@@ -181,17 +181,15 @@ def decode(ids: np.ndarray, names: list[str]) -> str:
     return " ".join(itemgetter(*ids.tolist())(names))
 
 
-_kept: dict[tuple, ChunkEncoder] = {}
-
-
 def digests(docs: DataFrame, tokenizer: str, mean: int = MEAN_BYTES, id_column: str = "doc_id",
             text: str = "text") -> DataFrame:
     """Number of ids, hash of the ids and hash of the decoded text, of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (tokenizer, mean) not in _kept:
-            _kept[tokenizer, mean] = ChunkEncoder(word_tokens.for_worker(tokenizer), mean)
-        encoder = _kept[tokenizer, mean]
+        with word_tokens.released(tokenizer) as tokens:
+            yield from hashed(batches, ChunkEncoder(tokens, mean))
+
+    def hashed(batches: Iterator[pa.RecordBatch], encoder: ChunkEncoder) -> Iterator[pa.RecordBatch]:
         names = encoder.tokens.names
         decimals = [str(i) for i in range(len(names))]
         for batch in batches:
@@ -212,7 +210,10 @@ def encode(docs: DataFrame, tokenizer: str, mean: int = MEAN_BYTES, id_column: s
     """``doc_id, ids``: the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(word_tokens.for_worker(tokenizer), mean)
+        with word_tokens.released(tokenizer) as tokens:
+            yield from encoded(batches, ChunkEncoder(tokens, mean))
+
+    def encoded(batches: Iterator[pa.RecordBatch], encoder: ChunkEncoder) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in byte_slices(batch.column(1)):
                 found = [x.tolist() for x in encoder.texts(data, offsets)]

@@ -42,7 +42,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_tokens.for_worker(tokenizer)
+        with word_tokens.released(tokenizer) as encoder:
+            yield from cut_up(batches, encoder)
+
+    def cut_up(batches: Iterator[pa.RecordBatch], encoder: word_tokens.WordTokens) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:

@@ -35,7 +35,7 @@ MAX_FEATURES = 1 << 14
 LEAST_Z = 4.0
 LEAST_RATIO = 1.0  # longer texts have more of every n-gram, but hardly by this factor
 THRESHOLD = 0.7
-COUNT_BYTES = 1 << 19  # counting sorts all n-grams of a slice, not only the chosen ones
+COUNT_BYTES = 1 << 19  # bytes of a slice: n-grams take over a hundred times their bytes while they are sorted
 
 _AS_SPACE = LOWER.copy()
 _AS_SPACE[[b for b in range(128) if not chr(b).isalnum()]] = 32
@@ -88,7 +88,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     counts = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
-        for first, end, data, offsets in byte_slices(batch.column(0)):
+        for first, end, data, offsets in byte_slices(batch.column(0), COUNT_BYTES):
             text, feature = ngrams(data, offsets)
             for y in (0, 1):
                 counts[y] += np.bincount(feature[toxic[first:end][text] == y], minlength=1 << BITS)
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in byte_slices(batch.column(0)):
+            for first, end, data, offsets in byte_slices(batch.column(0), COUNT_BYTES):
                 text, feature = ngrams(data, offsets, wanted)
                 ends = np.searchsorted(text, np.arange(len(offsets)))
                 yield pa.RecordBatch.from_arrays(
@@ -171,4 +171,4 @@ def scores(docs: DataFrame, model: Model, keep: list[str], name: str = "score",
            text: str = "text") -> DataFrame:
     """``keep`` columns and the score of every row."""
     return scored(docs, keep, text, f"`{name}` double",
-                  lambda data, offsets: [model.scores(data, offsets)])
+                  lambda data, offsets: [model.scores(data, offsets)], COUNT_BYTES)

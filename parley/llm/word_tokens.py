@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -214,7 +216,17 @@ _kept: dict[str, WordTokens] = {}
 
 
 def for_worker(path: str) -> WordTokens:
-    """The worker's encoder; a worker that runs several tasks keeps its memo."""
+    """The worker's encoder, without words in its memo; see :func:`released`."""
     if path not in _kept:
         _kept[path] = WordTokens(path)
     return _kept[path]
+
+
+@contextmanager
+def released(path: str) -> Iterator[WordTokens]:
+    """The worker's encoder for one task. Its memo goes with the task, as workers stay for others."""
+    tokens = for_worker(path)
+    try:
+        yield tokens
+    finally:
+        tokens._forget()
