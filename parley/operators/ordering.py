@@ -7,7 +7,8 @@ before it; the table of shifts has one row per partition.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,36 +90,79 @@ def over_recent_rows(
 
 
 def quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> DataFrame:
-    """One row with columns ``q0, q1, ...``: exact quantiles, linear between neighbours.
+    """One row with columns ``q0, q1, ...``: exact quantiles, linear between neighbours."""
+    return quantiles_of(df, {column: probabilities}).toDF(*[f"q{i}" for i in range(len(probabilities))])
 
-    Values are counted first (so a frequent value is one row), then placed in global order;
-    no task holds the whole distribution.
-    """
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(
-        F.count("*").alias("_n")
-    )
-    placed = _placed(counted, ["_v"])
-    shifts = _shifts(placed, F.sum("_n"))
-    in_part = Window.partitionBy("_part").orderBy("_row")
-    ranked = (
-        placed.join(F.broadcast(shifts), "_part")
-        .withColumn("_last", F.col("_shift") + F.sum("_n").over(in_part) - 1)
-        .withColumn("_first", F.col("_last") - F.col("_n") + 1)
-    )
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when(rank.between(F.col("_first"), F.col("_last")), F.col("_v")))
-
-    parts, outs = [], []
-    for i, p in enumerate(probabilities):
-        where = F.lit(float(p)) * (F.col("_total") - 1)
-        parts += [
-            at(F.floor(where)).alias(f"_lo{i}"), at(F.ceil(where)).alias(f"_hi{i}"),
-            F.max(where - F.floor(where)).alias(f"_f{i}"),
-        ]
-        lo, hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
-        outs.append((lo + (hi - lo) * F.col(f"_f{i}")).alias(f"q{i}"))
-    return ranked.agg(*parts).select(*outs)
+def quantiles_of(df: DataFrame, asked: Mapping[str, Sequence[float]], accuracy: int = 10_000,
+                 held: int = 100_000) -> DataFrame:
+    """One row with ``<column>_q<i>`` of every column asked for: exact, linear between neighbours.
+
+    A sketch of each column brackets every rank; one more scan counts what lies below a bracket and
+    on its ends and sorts what lies strictly inside, for all columns at once. A bracket holds a few
+    parts in ``accuracy`` of the rows however often a value repeats, as values on its ends are only
+    counted. One of more than ``held`` rows is sketched again, inside its ends. Nulls are left out.
+    """
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in asked])
+    near = 2 / accuracy  # the sketch errs by half of it
+
+    def sketch(column: Column, shares: Iterable[float]) -> Column:
+        return F.percentile_approx(column, [min(1.0, max(0.0, p + d)) for p in shares for d in (-near, near)], accuracy)
+
+    first = values.agg(*[x for c, ps in asked.items() for x in (F.count(c), F.min(c), F.max(c), sketch(F.col(c), ps))]).first()
+    sizes = {c: first[4 * k] for k, c in enumerate(asked)}
+    extremes = {c: tuple(first[4 * k + 1:4 * k + 3]) for k, c in enumerate(asked)}
+    open_ = {}  # (column, rank) -> (low end, high end, rows to expect inside, ends known to hold it)
+    for k, (c, ps) in enumerate(asked.items()):
+        for i, p in enumerate(ps if sizes[c] else ()):
+            for rank in {math.floor(p * (sizes[c] - 1)), math.ceil(p * (sizes[c] - 1))}:
+                open_[c, rank] = (*first[4 * k + 3][2 * i:2 * i + 2], 3 * near * sizes[c], extremes[c])
+    found = {}
+    while open_:
+        brackets = sorted({(c, low, high, rows <= held) for (c, _), (low, high, rows, _) in open_.items()})
+        counted = values.agg(*[x for b in brackets for x in _bracket(*b)]).first()
+        narrow = []
+        for (c, rank), (low, high, rows, outer) in list(open_.items()):
+            k = 4 * brackets.index((c, low, high, rows <= held))
+            below, on_low, inside, on_high = counted[k], counted[k + 1], counted[k + 2], counted[k + 3]
+            within = len(inside) if rows <= held else inside
+            at = rank - below - on_low
+            if rank < below:
+                open_[c, rank] = (outer[0], low, sizes[c], (outer[0], low))
+            elif at >= within + on_high:
+                open_[c, rank] = (high, outer[1], sizes[c], (high, outer[1]))
+            elif at < 0 or at >= within:
+                found[c, rank] = low if at < 0 else high
+            elif rows <= held:
+                found[c, rank] = inside[at]
+            else:
+                narrow.append((c, rank, low, high, (at + 0.5) / within, within))
+            if (c, rank) in found:
+                del open_[c, rank]
+        if narrow:
+            ends = values.agg(*[sketch(F.when((F.col(c) > low) & (F.col(c) < high), F.col(c)), [share])
+                                for c, _, low, high, share, _ in narrow]).first()
+            for (c, rank, *outer, _, within), (low, high) in zip(narrow, ends):
+                open_[c, rank] = (low, high, 3 * near * within, tuple(outer))
+
+    def at(c: str, p: float) -> float | None:
+        if not sizes[c]:
+            return None
+        rank = p * (sizes[c] - 1)
+        low, high = found[c, math.floor(rank)], found[c, math.ceil(rank)]
+        return low + (high - low) * (rank - math.floor(rank))
+
+    row = {f"{c}_q{i}": at(c, p) for c, ps in asked.items() for i, p in enumerate(ps)}
+    return df.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"`{c}` double" for c in row))
+
+
+def _bracket(c: str, low: float, high: float, gather: bool) -> list[Column]:
+    """Rows below the low end, on it, between the ends (sorted, or counted), and on the high end."""
+    v = F.col(c)
+    inside = (v > low) & (v < high)
+    return [F.count_if(v < low), F.count_if(v == low),
+            F.array_sort(F.collect_list(F.when(inside, v))) if gather else F.count_if(inside),
+            F.count_if((v == high) & F.lit(high != low))]
 
 
 def approximate_quantiles(

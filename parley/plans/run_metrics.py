@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from parley.operators.filters import above_two_sigma
 from parley.operators.joins import zip_positions
 from parley.operators.ordering import (
-    approximate_quantiles, beside, over_recent_rows, quantiles, with_position,
+    approximate_quantiles, beside, over_recent_rows, quantiles, quantiles_of, with_position,
 )
 
 LATENCY, TOKENS = "request_latencies", "tokens_used_per_request"
@@ -157,9 +157,8 @@ def throughput(metrics: DataFrame) -> DataFrame:
 
 def insights(metrics: DataFrame) -> DataFrame:
     """The insights table as one row of numbers."""
-    spread = quantiles(metrics, LATENCY, [0.25, 0.75]).select(
-        F.col("q0").alias("latency_q25"), F.col("q1").alias("latency_q75"))
-    middle = quantiles(metrics, TOKENS, [0.5]).select(F.col("q0").alias("median_tokens"))
+    found = quantiles_of(metrics, {LATENCY: [0.25, 0.75], TOKENS: [0.5]}).toDF(
+        "latency_q25", "latency_q75", "median_tokens")
     plain = metrics.agg(
         F.avg(LATENCY).alias("mean_latency"), F.min(LATENCY).alias("min_latency"),
         F.max(LATENCY).alias("max_latency"), F.avg(TOKENS).alias("mean_tokens"),
@@ -170,7 +169,7 @@ def insights(metrics: DataFrame) -> DataFrame:
         F.avg(F.when(F.col(TURNS) <= 5, F.col(TOKENS))).alias("short_mean_tokens"),
         F.avg(F.when(F.col(TURNS) > 5, F.col(TOKENS))).alias("long_mean_tokens"),
     )
-    return beside(beside(plain, spread), middle)
+    return beside(plain, found)
 
 
 def run_summary(attempts: DataFrame) -> DataFrame:

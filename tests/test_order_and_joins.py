@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import dedup, joins, ordering, sampling
@@ -35,6 +36,20 @@ def test_quantiles_match_numpy(spark):
     assert np.allclose(list(got), np.quantile(values, probabilities))
 
 
+@pytest.mark.parametrize("search", [{}, {"accuracy": 50, "held": 3}])
+def test_quantiles_of_several_columns_with_ties_and_nulls(spark, search):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), int(b), None if c > 5 else float(c)) for a, b, c in zip(
+        rng.normal(size=700), rng.integers(0, 4, 700), rng.integers(0, 9, 700))]
+    df = spark.createDataFrame(rows, "a double, b long, c double").repartition(6)
+    asked = {"a": [0, 0.013, 0.5, 0.99, 1], "b": [0.25, 0.5, 1], "c": [0.1, 0.9]}
+    got = ordering.quantiles_of(df, asked, **search).first()
+    for i, c in enumerate("abc"):
+        v = np.array([r[i] for r in rows if r[i] is not None])
+        for k, p in enumerate(asked[c]):
+            assert got[f"{c}_q{k}"] == pytest.approx(np.quantile(v, p), abs=1e-12)
+
+
 def test_quantiles_of_nothing(spark):
     got = ordering.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]).first()
     assert got.q0 is None
