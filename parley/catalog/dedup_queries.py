@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.catalog.fixture import dialogues, over_dialogues, table
 from parley.catalog.registry import query
-from parley.functions.hashing import content_hash, fingerprint, record_hash
+from parley.functions.hashing import content_hash, fingerprint
 from parley.functions.vectors import norm
 from parley.operators import dedup, similarity, survivors, vector_index
 from parley.operators.joins import seen, split_by_ids, unseen
@@ -74,14 +74,6 @@ def dedup_counts(spark, sf_dir):
                         (F.sum("n") - F.count("*")).alias("excluded"))
 
 
-@query("record_fingerprints", over_dialogues("""
-  SELECT dialogue_id, sha256('{"dialogue_id":"' || dialogue_id || '","num_lines":' || num_lines
-    || ',"scenario_category":"' || scenario_category || '"}') AS hash FROM dialogues"""))
-def record_fingerprints(spark, sf_dir):
-    return dialogues(spark, sf_dir).select("dialogue_id", record_hash(
-        "num_lines", "dialogue_id", "scenario_category").alias("hash"))
-
-
 @query("line_overlap_anti", f"""
   WITH {LINES_SQL}
   SELECT doc_id, count(*) AS new_lines FROM doc_lines

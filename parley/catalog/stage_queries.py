@@ -10,19 +10,22 @@ import hashlib
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.catalog.dedup_queries import STATE_SQL, THRESHOLD, greedy_sql
+from parley.catalog.dedup_queries import STATE_SQL, THRESHOLD, documents_as_turns, greedy_sql
 from parley.catalog.fixture import DIALOGUES_SQL, dialogues, over_dialogues, table
 from parley.catalog.metric_queries import M, placed
 from parley.catalog.registry import query
 from parley.catalog.text_queries import WORDS_SQL
+from parley.functions import records as record_functions
 from parley.functions import text
-from parley.functions.hashing import fingerprint
+from parley.functions.hashing import content_hash, fingerprint
 from parley.operators import model_stage, moderation
+from parley.operators.dedup import flag_exact_duplicates
 from parley.operators.shape import for_export, with_dialogue_id
 from parley.plans import cleanup, generation
 from parley.plans import run_metrics as metrics
+from parley.schemas import DIALOGUE_JSON
 from parley.session import cut, scratch_path
-from parley.sources import readers, writers
+from parley.sources import json_array, npy, readers, versions, writers
 from parley.streaming import ingest
 
 
@@ -33,22 +36,83 @@ def records(spark, sf_dir):
         "scenario_category", "generated_scenario", "time_slot", "regions", "resolution_status")
 
 
-RECORD_SQL = """SELECT dialogue_id, num_lines, array_to_string(services, ',') AS services,
-  scenario_category, region FROM dialogues"""
+#: Every record as its canonical text: names sorted, no blanks between.
+RECORD_SQL = """
+  SELECT d.dialogue_id, d.num_lines, to_json({
+    'assistant_emotions': [assistant_emotion], 'dialogue_id': d.dialogue_id, 'generated_scenario': generated_scenario,
+    'num_lines': num_lines, 'regions': [region], 'resolution_status': resolution_status,
+    'scenario_category': scenario_category, 'services': services,
+    'time_slot': [slot_start::VARCHAR, slot_end::VARCHAR, slot], 'turns': t.turns,
+    'user_emotions': [user_emotion]})::VARCHAR AS record
+  FROM dialogues d JOIN (
+    SELECT conv_id, list({'assistant_response': assistant_response, 'intent': intent, 'turn_number': turn_number,
+                          'utterance': utterance} ORDER BY turn_number) AS turns FROM turns GROUP BY conv_id) t
+  USING (conv_id)"""
 
 
-def summary_columns(df):
-    return df.select(
-        "dialogue_id", F.col("num_lines").cast("bigint").alias("num_lines"),
-        F.array_join("services", ",").alias("services"), "scenario_category",
-        F.get("regions", F.lit(0)).alias("region"))
+def whole_records(spark, sf_dir):
+    """(dialogue_id, num_lines, record) with all fields of a record in its canonical text."""
+    rows = records(spark, sf_dir)
+    return rows.select("dialogue_id", "num_lines", record_functions.as_record(*rows.columns).alias("record"))
 
 
-@query("lines_written_and_read", over_dialogues(RECORD_SQL))
+@query("lines_written_and_read", over_dialogues(f"SELECT dialogue_id, record FROM ({RECORD_SQL})"))
 def lines_written_and_read(spark, sf_dir):
     path = scratch_path(spark, "lines")
     writers.append_lines(records(spark, sf_dir), path)
-    return summary_columns(readers.read_strict(spark, path))
+    return readers.read_strict(spark, path, record="record").select("dialogue_id", "record")
+
+
+@query("array_written_and_read", over_dialogues(
+    f"SELECT dialogue_id, num_lines > 2 AS long, record FROM ({RECORD_SQL})"))
+def array_written_and_read(spark, sf_dir):
+    """Arrays cut into chunks that end anywhere, with typed columns beside the whole records."""
+    path = scratch_path(spark, "arrays")
+    json_array.write(whole_records(spark, sf_dir).coalesce(2), path)
+    rows = readers.read_array(spark, path, record="record", chunk=20_000)
+    return rows.select("dialogue_id", (F.col("num_lines") > 2).alias("long"), "record")
+
+
+@query("other_fields_kept", over_dialogues(f"SELECT dialogue_id, record FROM ({RECORD_SQL})"))
+def other_fields_kept(spark, sf_dir):
+    """Records read with three typed fields; the others travel as VARIANT and are written back."""
+    path = scratch_path(spark, "lines")
+    writers.append_lines(records(spark, sf_dir), path)
+    few = T.StructType([f for f in DIALOGUE_JSON.fields if f.name in ("dialogue_id", "num_lines", "resolution_status")])
+    rows = readers.read_strict(spark, path, few, others="others")
+    return rows.select("dialogue_id", record_functions.with_fields(
+        record_functions.as_record(*few.names), F.col("others")).alias("record"))
+
+
+@query("turns_from_file", over_dialogues("""
+  SELECT dialogue_id, turn_number, utterance AS user_utterance, intent, assistant_response,
+         array_to_string(services, '||') AS services_str FROM turns JOIN dialogues USING (dialogue_id)"""))
+def turns_from_file(spark, sf_dir):
+    path = scratch_path(spark, "lines")
+    writers.append_lines(records(spark, sf_dir), path)
+    return readers.read_turns(spark, path).select(
+        "dialogue_id", F.col("turn_number").cast("bigint").alias("turn_number"), "user_utterance", "intent",
+        "assistant_response", "services_str")
+
+
+@query("personas_from_files", """
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, source AS cluster_label, lang AS summary_label,
+         text AS persona FROM documents""")
+def personas_from_files(spark, sf_dir):
+    path = scratch_path(spark, "personas")
+    docs = table(spark, sf_dir, "documents")
+    (docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(
+        F.col("source").alias("cluster_label"), F.col("lang").alias("summary_label"), F.col("text").alias("persona"))
+     .write.parquet(path))
+    return readers.read_personas(spark, path)
+
+
+@query("vector_matrix_files", """
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, embedding FROM embeddings""")
+def vector_matrix_files(spark, sf_dir):
+    path = scratch_path(spark, "matrix")
+    npy.write(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), path)
+    return readers.read_vector_matrix(spark, path)
 
 
 @query("bad_lines_skipped", over_dialogues("""
@@ -66,23 +130,53 @@ def bad_lines_skipped(spark, sf_dir):
 
 
 @query("rewritten_corpus", over_dialogues(f"""
-  , r AS ({RECORD_SQL}) SELECT * FROM r UNION ALL SELECT * FROM r WHERE num_lines > 2"""))
+  , r AS ({RECORD_SQL}) SELECT record FROM r UNION ALL SELECT record FROM r WHERE num_lines > 2"""))
 def rewritten_corpus(spark, sf_dir):
-    first, second = scratch_path(spark, "corpus"), scratch_path(spark, "corpus")
-    corpus = cut(records(spark, sf_dir))
-    writers.append_batches(corpus, first)
-    writers.rewrite_with(readers.read_strict(spark, first).drop("time_slot"),
-                         corpus.where("num_lines > 2").drop("time_slot"), second)
-    return summary_columns(readers.read_strict(spark, second))
+    """Two versions of one table: the corpus, then the corpus and some of it again."""
+    path = scratch_path(spark, "corpus")
+    corpus = cut(whole_records(spark, sf_dir))
+    versions.append_records(path, corpus)
+    versions.append_records(path, corpus.where("num_lines > 2"))
+    return versions.read_lines(spark, path).withColumnRenamed("value", "record")
 
 
 @query("split_files", over_dialogues(
-    "SELECT dialogue_id, num_lines > 2 AS kept FROM dialogues"))
+    f"SELECT dialogue_id, record, num_lines > 2 AS kept FROM ({RECORD_SQL})"))
 def split_files(spark, sf_dir):
     kept, removed = scratch_path(spark, "kept"), scratch_path(spark, "removed")
-    writers.write_split(records(spark, sf_dir), F.col("num_lines") > 2, kept, removed)
-    return readers.read_strict(spark, kept).select("dialogue_id", F.lit(True).alias("kept")).unionByName(
-        readers.read_strict(spark, removed).select("dialogue_id", F.lit(False).alias("kept")))
+    writers.write_split(whole_records(spark, sf_dir), F.col("num_lines") > 2, kept, removed, record="record")
+
+    def back(path, flag):
+        return readers.read_strict(spark, path, record="record").select("dialogue_id", "record", F.lit(flag).alias("kept"))
+
+    return back(kept, True).unionByName(back(removed, False))
+
+
+@query("duplicates_split", """
+  WITH d AS (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)), lang ORDER BY doc_id) > 1 AS copy
+             FROM documents)
+  SELECT doc_id, copy AS removed, count(*) OVER () AS total, count(*) FILTER (NOT copy) OVER () AS included,
+         count(*) FILTER (copy) OVER () AS excluded FROM d""")
+def duplicates_split(spark, sf_dir):
+    """The split of a deduplication into its two files, with the counts that its commit reports."""
+    docs = documents_as_turns(spark, sf_dir)
+    flagged = flag_exact_duplicates(docs.select("doc_id", content_hash(F.col("turns")).alias("hash")), "hash", "doc_id")
+    kept, removed = scratch_path(spark, "kept"), scratch_path(spark, "removed")
+    n = writers.write_split(flagged.select("doc_id", "is_duplicate"), ~F.col("is_duplicate"), kept, removed)
+    schema = T.StructType([T.StructField("doc_id", T.LongType())])
+
+    def back(path, flag):
+        return readers.read_strict(spark, path, schema).withColumn("removed", F.lit(flag))
+
+    return back(kept, False).unionByName(back(removed, True)).select(
+        "doc_id", "removed", F.lit(sum(n)).cast("bigint").alias("total"), F.lit(n[0]).cast("bigint").alias("included"),
+        F.lit(n[1]).cast("bigint").alias("excluded"))
+
+
+@query("record_fingerprints", over_dialogues(f"SELECT dialogue_id, sha256(record) AS hash FROM ({RECORD_SQL})"))
+def record_fingerprints(spark, sf_dir):
+    return whole_records(spark, sf_dir).select(
+        "dialogue_id", record_functions.record_hash(F.col("record")).alias("hash"))
 
 
 @query("known_state", over_dialogues("""

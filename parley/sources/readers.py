@@ -3,27 +3,37 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.functions import records
 from parley.operators.joins import zip_arrays
 from parley.schemas import (
     DIALOGUE_JSON, HASH_STATE, METRIC_COLUMNS, PERSONA, RUN_METRICS_JSON, SEED, VECTOR_STATE,
 )
+from parley.sources import json_array, npy
 
 CORRUPT = "_corrupt_record"
 
 
-def read_strict(spark: SparkSession, path: str, schema: T.StructType = DIALOGUE_JSON) -> DataFrame:
-    """JSON lines; blank lines are skipped and a line that is no JSON fails the read.
+def read_strict(spark: SparkSession, path: str, schema: T.StructType = DIALOGUE_JSON, *,
+                others: str | None = None, record: str | None = None) -> DataFrame:
+    """JSON lines; blank lines are skipped and a line that is not one JSON object fails the read.
 
-    A field of another type than the schema's becomes null; ``shape.violations`` reports it.
+    A field of another type than the schema's becomes null; ``shape.violations`` reports it. Fields
+    outside the schema go to the VARIANT column ``others``, the whole canonical text to ``record``.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
-    whole = F.when(F.try_parse_json("value").isNull(), F.raise_error(
-        F.concat(F.lit("no JSON: "), F.substring("value", 1, 200))).cast("string")).otherwise(F.col("value"))
-    return lines.select(F.from_json(whole, schema).alias("r")).select("r.*")
+    return _typed(lines.select(records.canonical(F.col("value")).alias("value")), schema, others, record)
+
+
+def _typed(lines: DataFrame, schema: T.StructType, others: str | None = None, record: str | None = None) -> DataFrame:
+    """Columns of the schema from ``value``, the text of a record."""
+    more = ([] if others is None else [records.other_fields(F.col("value"), schema).alias(others)]) + (
+        [] if record is None else [F.col("value").alias(record)])
+    return lines.select(F.from_json("value", schema).alias("r"), *more).select(
+        "r.*", *[c for c in (others, record) if c is not None])
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType = DIALOGUE_JSON) -> tuple[DataFrame, DataFrame]:
@@ -36,21 +46,14 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType = DIALOGU
     return good, parsed.where(bad).select(F.col("value").alias("line"))
 
 
-def read_array(spark: SparkSession, path: str, schema: T.StructType = DIALOGUE_JSON) -> DataFrame:
-    """A file holding one JSON array. It is read by one task, so turn large ones into lines once.
+def read_array(spark: SparkSession, path: str, schema: T.StructType = DIALOGUE_JSON, *,
+               others: str | None = None, record: str | None = None, chunk: int = json_array.CHUNK) -> DataFrame:
+    """A file holding one JSON array, read in chunks by many tasks (see ``json_array``).
 
-    Fields of another type than the schema's become null; a file that breaks off fails the read.
+    Fields are read as in :func:`read_strict`; a file that is no array of objects fails with the place.
     """
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if head and not head[0].value.lstrip("﻿ \t").startswith("["):
-        raise ValueError(f"{path} does not hold a list")
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(wide).option("multiLine", True).json(path)
-    broken = F.col(CORRUPT).isNotNull()
-    for f in schema.fields:
-        broken &= F.col(f.name).isNull()
-    fails = F.when(broken, F.raise_error(F.lit(f"{path} breaks off")).cast("boolean")).otherwise(F.lit(True))
-    return rows.where(fails).drop(CORRUPT)
+    rows = json_array.read(spark, path, chunk)
+    return _typed(rows.select(records.canonical(F.col("value")).alias("value")), schema, others, record)
 
 
 def read_turns(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +68,15 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_personas(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PERSONA).parquet(path)
+    """Personas with ``idx``, their place in the files, which are taken in the order of their names."""
+    place = F.col("_metadata")
+    rows = spark.read.schema(PERSONA).parquet(path).select(
+        "*", place["file_path"].alias("_file"), place["row_index"].alias("_row"))
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = sizes.select("_file", (F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))  # a row per file
+    return rows.join(F.broadcast(before), "_file").select(
+        (F.col("_before") + F.col("_row")).alias("idx"), *PERSONA.names)
 
 
 def _or_empty(spark: SparkSession, schema: T.StructType, load) -> DataFrame:
@@ -87,6 +98,11 @@ def read_known_hashes(spark: SparkSession, path: str) -> DataFrame:
     return _or_empty(spark, HASH_STATE, lambda: spark.read.schema(HASH_STATE).json(path)).distinct()
 
 
+def read_vector_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(id, embedding) of ``.npy`` state, read by ranges of rows; empty where there is none yet."""
+    return npy.read(spark, path)
+
+
 def read_known_vectors(spark: SparkSession, path: str) -> DataFrame:
     return _or_empty(spark, VECTOR_STATE, lambda: spark.read.schema(VECTOR_STATE).parquet(path))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.shape import for_export
-from parley.session import cut
+from parley.session import scratch_path
+from parley.sources import split_lines
 
 BATCH_ROWS = 10_000
 
@@ -35,16 +36,14 @@ def append_vectors(df: DataFrame, path: str) -> None:
               ).write.mode("append").parquet(path)
 
 
-def write_split(df: DataFrame, keep: Column, kept_path: str, removed_path: str) -> tuple[int, int]:
-    """Kept rows to one path, the others to a second; returns both counts.
+def write_split(df: DataFrame, keep: Column, kept_path: str, removed_path: str,
+                record: str | None = None) -> tuple[int, int]:
+    """Kept rows to one path, the others to a second, in one pass and one commit; returns both counts.
 
-    The flag is computed once and written down, so both files come from one decision.
+    Rows are written as JSON of their columns, or as the text of the column ``record``.
     """
-    flagged = cut(df.withColumn("_keep", F.coalesce(keep, F.lit(False))))
-    flagged.where("_keep").drop("_keep").write.json(kept_path)
-    flagged.where("not _keep").drop("_keep").write.json(removed_path)
-    counts = flagged.agg(F.count_if("_keep"), F.count_if(~F.col("_keep"))).first()
-    return counts[0], counts[1]
+    line = F.to_json(F.struct("*")) if record is None else F.col(record)
+    return split_lines.write(df, keep, line, kept_path, removed_path, scratch_path(df.sparkSession, "split"))
 
 
 def write_dead_letters(failed: DataFrame, path: str) -> bool:
