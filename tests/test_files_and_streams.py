@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,32 @@ def test_a_repeated_batch_replaces_its_output(spark, folder):
     assert ingest.read_accepted(spark, f"{folder}/out", rows.schema).count() == 2
 
 
+def test_streamed_vectors_read_the_cells_they_touch(spark, folder):
+    rng = np.random.default_rng(2)
+    x = np.eye(6)[rng.integers(0, 6, 90)] * 3 + rng.normal(size=(90, 6)) * 0.25
+    drops = []
+    for n in range(3):
+        part = [(int(i), f"h{i}", x[i].tolist()) for i in range(n, 90, 3)] + [(200 + n, "h0", x[0].tolist()), (300 + n, f"z{n}", [0.0] * 6)]
+        drops.append(spark.createDataFrame(part, "vec_id long, hash string, v array<double>"))
+        writers.append_lines(drops[-1].coalesce(1), f"{folder}/drops")
+        ingest.run_unique_vectors(ingest.read_drops(spark, f"{folder}/drops", drops[0].schema, 100), f"{folder}/out",
+                                  f"{folder}/m", key="hash", position="vec_id", vector="v", threshold=0.97, cells=9)
+    kept, u = [], x / np.linalg.norm(x, axis=1, keepdims=True)
+    for n in range(3):
+        for i in range(n, 90, 3):
+            if not any(u[i] @ u[j] >= 0.97 for j in kept):
+                kept.append(i)
+    got = sorted(r.vec_id for r in ingest.read_accepted(spark, f"{folder}/out", drops[0].schema).collect())
+    assert got == sorted([*kept, 300, 301, 302])
+    pivots = ingest._fixed_pivots(spark, f"{folder}/out/_pivots", None, 9)
+    placed = {r.vec_id: r for r in ingest.with_cells(drops[0].union(drops[1]), "v", pivots, 0.97).collect() if r.vec_id < 90}
+    assert any(len(r._near) < len(pivots) for r in placed.values())
+    for a in placed.values():
+        for b in placed.values():
+            if u[a.vec_id] @ u[b.vec_id] >= 0.97:
+                assert b._cell in a._near
+
+
 def test_streamed_keys_are_unique_across_drops(spark, folder):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, hash string")
     for _ in range(2):
