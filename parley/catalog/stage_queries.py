@@ -20,12 +20,13 @@ from parley.functions import text
 from parley.functions.hashing import content_hash, fingerprint
 from parley.operators import model_stage, moderation
 from parley.operators.dedup import flag_exact_duplicates
+from parley.operators.ordering import beside
 from parley.operators.shape import for_export, with_dialogue_id
 from parley.plans import cleanup, generation
 from parley.plans import run_metrics as metrics
 from parley.schemas import DIALOGUE_JSON
 from parley.session import cut, scratch_path
-from parley.sources import json_array, npy, readers, versions, writers
+from parley.sources import json_array, metrics_object, npy, readers, versions, writers
 from parley.streaming import ingest
 
 
@@ -211,6 +212,19 @@ def metrics_files(spark, sf_dir):
         F.max("total_dialogues_attempted").cast("bigint").alias("attempted"))
 
 
+@query("metrics_object_written_and_read", f"""{M}
+  SELECT pos, latency AS request_latencies, tokens AS tokens_used_per_request,
+         (SELECT count(*) FROM m) AS attempted FROM m""")
+def metrics_object_written_and_read(spark, sf_dir):
+    path = scratch_path(spark, "metrics")
+    series = cut(placed(spark, sf_dir))
+    totals = series.agg(F.count("*").alias("total_dialogues_attempted"))
+    metrics_object.write(totals, series.select("pos", metrics.LATENCY, metrics.TOKENS), f"{path}/metrics.json")
+    summary, back = readers.read_run_metrics(spark, f"{path}/metrics.json")
+    return beside(back, summary.select(F.col("total_dialogues_attempted").alias("attempted"))).select(
+        F.col("pos").cast("bigint").alias("pos"), metrics.LATENCY, F.col(metrics.TOKENS).cast("double").alias(metrics.TOKENS), "attempted")
+
+
 @query("generated_ids", over_dialogues(
     "SELECT dialogue_id || '_generated_' || md5(generated_scenario) AS dialogue_id FROM dialogues"))
 def generated_ids(spark, sf_dir):

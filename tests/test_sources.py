@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import records
-from parley.sources import json_array, npy, readers, split_lines, versions
+from parley.sources import json_array, metrics_object, npy, readers, split_lines, versions
 
 
 def put(path, text):
@@ -142,3 +142,23 @@ def test_versions_are_seen_whole(spark, folder):
     with pytest.raises(Exception, match="stop"):
         versions.append_records(path, one.select(F.raise_error(F.lit("stop")).cast("string").alias("record")))
     assert versions.current(spark, path) == now and versions.read_lines(spark, path).count() == 2
+
+
+@pytest.mark.parametrize("rows", [0, 1, 500])
+def test_metrics_object(spark, folder, rows):
+    data = [(i, float(i) / 3 if i < rows * 0.6 else None, None if i % 7 == 3 and i < rows - 1 else i) for i in range(rows)]
+    series = spark.createDataFrame(data, "pos long, request_latencies double, tokens_used_per_request long").repartition(6)
+    summary = spark.createDataFrame([(4, {"taxi": 2})], "total_dialogues_attempted long, dialogue_service_distribution map<string,long>")
+    metrics_object.write(summary, series, f"{folder}/run/metrics.json")
+    with open(f"{folder}/run/metrics.json") as f:
+        got = json.load(f)
+    assert got["total_dialogues_attempted"] == 4 and got["dialogue_service_distribution"] == {"taxi": 2}
+    assert got["request_latencies"] == [v for _, v, _ in data if v is not None]
+    assert got["tokens_used_per_request"] == [v for *_, v in data]
+    assert os.listdir(f"{folder}/run") == ["metrics.json"]
+    if rows == 500:
+        broken = series.withColumn("request_latencies", F.when(
+            F.col("pos") == 123, F.raise_error(F.lit("stop")).cast("double")).otherwise(F.col("request_latencies")))
+        with pytest.raises(Exception, match="stop"):
+            metrics_object.write(summary, broken, f"{folder}/other/metrics.json")
+        assert not os.path.exists(f"{folder}/other") or os.listdir(f"{folder}/other") == []
