@@ -219,16 +219,14 @@ WORKERS_SQL = """
 
 
 def _workers(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("user_id").agg(
-        F.count("*").alias("total_dialogues_attempted"),
-        F.count_if(F.col("event_type") == "purchase").alias("total_successful_dialogues"),
-        F.count_if(F.col("event_type") == "error").alias("total_retries"),
-        F.map_from_arrays(
-            F.array(F.lit("click"), F.lit("view")),
-            F.array(F.count_if(F.col("event_type") == "click"),
-                    F.count_if(F.col("event_type") == "view")),
-        ).alias("dialogue_service_distribution"))
+    """A run's summary per user, with a map of all its event types."""
+    kind, n = F.col("event_type"), F.col("n")
+    per_type = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return per_type.groupBy("user_id").agg(
+        F.sum("n").alias("total_dialogues_attempted"),
+        F.sum(F.when(kind == "purchase", n).otherwise(0)).alias("total_successful_dialogues"),
+        F.sum(F.when(kind == "error", n).otherwise(0)).alias("total_retries"),
+        F.map_from_entries(F.collect_list(F.struct(kind, n))).alias("dialogue_service_distribution"))
 
 
 @query("merge_runs", f"""{M}, {WORKERS_SQL}
@@ -240,8 +238,7 @@ def merge_runs(spark, sf_dir):
 
 
 @query("merge_service_counts", """
-  SELECT event_type AS service, count(*) AS n FROM events
-  WHERE event_type IN ('click', 'view') GROUP BY 1""")
+  SELECT event_type AS service, count(*) AS n FROM events GROUP BY 1""")
 def merge_service_counts(spark, sf_dir):
     return metrics.merge_service_counts(_workers(spark, sf_dir))
 

@@ -96,6 +96,26 @@ def turns_from_file(spark, sf_dir):
         "assistant_response", "services_str")
 
 
+@query("seeds_from_file", """
+  WITH c AS (SELECT conv_id, list({'turn_id': turn::VARCHAR, 'speaker': CASE role WHEN 'user' THEN 0
+               WHEN 'assistant' THEN 1 ELSE 2 END, 'utterance': text} ORDER BY turn) AS t
+             FROM conversations GROUP BY conv_id)
+  SELECT 'seed_' || conv_id AS dialogue_id, x.turn_id AS turn_id, x.speaker AS speaker, x.utterance AS utterance
+  FROM (SELECT conv_id, unnest(t) AS x FROM c)""")
+def seeds_from_file(spark, sf_dir):
+    path = scratch_path(spark, "seeds")
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("seq"))
+    speaker = F.transform("seq.role", lambda r: F.when(r == "user", 0).when(r == "assistant", 1).otherwise(2))
+    rows.select(
+        F.concat(F.lit("seed_"), F.col("conv_id").cast("string")).alias("dialogue_id"),
+        F.array().cast("array<string>").alias("services"),
+        F.struct(F.transform("seq.turn", lambda t: t.cast("string")).alias("turn_id"), speaker.alias("speaker"),
+                 F.col("seq.text").alias("utterance")).alias("turns")).write.parquet(path)
+    seeds = readers.read_seeds(spark, path)
+    return seeds.select("dialogue_id", F.inline(F.arrays_zip("turns.turn_id", "turns.speaker", "turns.utterance")))
+
+
 @query("personas_from_files", """
   SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, source AS cluster_label, lang AS summary_label,
          text AS persona FROM documents""")
@@ -258,11 +278,39 @@ def embed_stage(spark, sf_dir):
         F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("hashed_embedding")
+@query("hashed_embedding", f"""
+  WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+  b AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 6))::BIGINT % 256 AS bucket, count(*) AS n
+        FROM (SELECT doc_id, unnest(ws) AS word FROM w) GROUP BY ALL),
+  s AS (SELECT doc_id, count(*) AS used, max(n) / sqrt(sum(n * n)) AS peak, sum(bucket * n) / sqrt(sum(n * n)) AS spread
+        FROM b GROUP BY doc_id)
+  SELECT doc_id, 256 AS dimension, coalesce(used, 0)::INTEGER AS used, round(coalesce(peak, 0.0), 6) AS peak,
+         round(coalesce(spread, 0.0), 4) AS spread FROM documents LEFT JOIN s USING (doc_id)""")
 def hashed_embedding(spark, sf_dir):
     found = model_stage.hashed_embedding(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return found.select("doc_id", F.size("embedding").alias("dimension"),
-                        F.size(F.filter("embedding", lambda x: x != 0)).alias("used"))
+    v = F.col("embedding")
+    weighted = F.transform(v, lambda x, i: x * i)
+    return found.select(
+        "doc_id", F.size(v).alias("dimension"), F.size(F.filter(v, lambda x: x != 0)).alias("used"),
+        F.round(F.array_max(v), 6).alias("peak"),
+        F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 4).alias("spread"))
+
+
+@query("files_only_where_rows", """
+  SELECT 'dead letters' AS name, count(*) AS n, true AS written FROM labels WHERE toxic = 1
+  UNION ALL SELECT 'nothing', 0, false""")
+def files_only_where_rows(spark, sf_dir):
+    """Failed inputs go to a dead-letter file; an empty selection leaves no file at all."""
+    labels = table(spark, sf_dir, "labels")
+    schema = labels.schema
+    out = None
+    for name, rows in (("dead letters", labels.where("toxic = 1")), ("nothing", labels.where("toxic = 1 and toxic = 0"))):
+        path = scratch_path(spark, "letters")
+        written = writers.write_dead_letters(rows, path)
+        back = readers._or_empty(spark, schema, lambda: spark.read.schema(schema).json(path))
+        one = back.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n", F.lit(written).alias("written"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def shares(body: str) -> dict:

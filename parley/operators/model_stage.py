@@ -44,14 +44,30 @@ def embed(texts: DataFrame, key: str, column: str, function: Embed, batch: int =
 
 
 def hashed_embedding(texts: DataFrame, key: str, column: str, dimension: int = 256) -> DataFrame:
-    """(key, embedding) without a model: hashed word counts, scaled to length 1."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    tokens = texts.select(key, words(F.col(column)).alias("_words"))
-    counts = HashingTF(numFeatures=dimension, inputCol="_words", outputCol="_tf").transform(tokens)
-    scaled = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counts)
-    return scaled.select(key, vector_to_array("_unit").alias("embedding"))
+    """(key, embedding) without a model: word counts by md5 bucket, scaled to length 1.
+
+    A bucket is the first 24 bits of the word's md5, modulo the dimension; a text without words is
+    the zero vector.
+    """
+    def bucket(word: Column) -> Column:
+        return (F.conv(F.substring(F.md5(word), 1, 6), 16, 10).cast("long") % dimension).cast("int")
+
+    schema = T.StructType([texts.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                lists = part["_buckets"]
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                place = row * dimension + lists.flatten().to_numpy()
+                counts = np.bincount(place, minlength=len(lists) * dimension).reshape(-1, dimension).astype(float)
+                length = np.linalg.norm(counts, axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part[key], from_matrix(counts / np.where(length == 0, 1, length))], names=[key, "embedding"])
+
+    buckets = F.transform(words(F.coalesce(F.col(column), F.lit(""))), bucket)
+    return texts.select(key, buckets.alias("_buckets")).mapInArrow(run, schema)
 
 
 def moderate(texts: DataFrame, key: str, column: str, function: Score, threshold: float = 0.5) -> DataFrame:

@@ -70,7 +70,7 @@ def run_batch(
     body = text.render_hash_text(F.col("turns"))
     fresh = cut(parsed.withColumns({
         "body": body, "num_lines": F.size("turns"), "hash": fingerprint(body)}))
-    fresh = fresh.join(embed_texts(fresh.select("request", "body")), "request")
+    fresh = cut(fresh.join(embed_texts(fresh.select("request", "body")), "request"))  # the model runs once
     kept = append_unique(fresh, known_hashes, known_vectors, key="hash", position="request",
                          vector="embedding", threshold=threshold, among_new=among_new, **search)
     named = with_dialogue_id(kept.withColumn("seed_request", F.concat_ws(":", "hash", F.col("request").cast("string"))),
