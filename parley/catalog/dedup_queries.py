@@ -159,8 +159,8 @@ def max_similarity(spark, sf_dir):
 
 
 def _stored_index(spark, sf_dir):
-    """An index of small cells, one folder each, and nine tenths of them as the number to visit."""
-    index = vector_index.build(vectors(spark, sf_dir), scratch_path(spark, "index"), leaf_rows=128, shard_rows=32)
+    """An index of small cells, and nine tenths of them as the number to visit."""
+    index = vector_index.build(vectors(spark, sf_dir), scratch_path(spark, "index"), leaf_rows=256, shard_rows=128)
     return index, max(1, index.cells().count() * 9 // 10)
 
 

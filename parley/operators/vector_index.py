@@ -56,8 +56,10 @@ def _children(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 def _assign(rows: DataFrame, pivots: DataFrame, dimension: int, small_values: int, block_rows: int) -> DataFrame:
     """Rows of split cells moved to the nearest pivot's cell; others stay."""
-    if sim.fits(pivots, dimension, small_values):
-        shared = rows.sparkSession.sparkContext.broadcast(_children(pivots.toArrow()))
+    few = small_values // max(dimension, 1)
+    table = pivots.limit(few + 1).toArrow() if few else None
+    if table is not None and table.num_rows <= few:
+        shared = rows.sparkSession.sparkContext.broadcast(_children(table))
 
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sim.slices(batches):
