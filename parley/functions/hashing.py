@@ -23,8 +23,3 @@ def content_hash(turns: Column) -> Column:
         bare(t["intent"]).alias("intent"),
         bare(t["assistant_response"]).alias("response"),
     ))))
-
-
-def record_hash(*columns: str) -> Column:
-    """sha256 of a whole record as JSON with its fields in name order."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
