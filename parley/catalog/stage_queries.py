@@ -321,18 +321,29 @@ def shares(body: str) -> dict:
     return {"z": low.count("z") / len(low), "q": low.count("q") / len(low)}
 
 
+def share_of_x(body: str) -> dict:
+    """A second stand-in, which is asked where the first failed, and fails in its turn on other texts."""
+    low = body.lower()
+    if "x" not in low:
+        raise ValueError("nothing to score")
+    return {"x": low.count("x") / len(low)}
+
+
 SHARES_SQL = """s AS (SELECT doc_id, lower(text) AS t FROM documents),
   r AS (SELECT doc_id, (length(t) - length(replace(t, 'z', ''))) / length(t) AS z,
                (length(t) - length(replace(t, 'q', ''))) / length(t) AS q,
-               contains(t, 'z') OR contains(t, 'q') AS ok FROM s)"""
+               (length(t) - length(replace(t, 'x', ''))) / length(t) AS x,
+               contains(t, 'z') OR contains(t, 'q') AS first, contains(t, 'x') AS second FROM s)"""
 
 
 @query("moderation_stage", f"""WITH {SHARES_SQL}
-  SELECT doc_id, ok, CASE WHEN ok THEN z >= 0.01 OR q >= 0.01 END AS flagged FROM r""")
+  SELECT doc_id, first OR second AS ok,
+         CASE WHEN first THEN z >= 0.01 OR q >= 0.01 WHEN second THEN x >= 0.01 END AS flagged FROM r""")
 def moderation_stage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tries = iter((shares, share_of_x))
     done, left = model_stage.with_one_retry(
-        docs, "doc_id", lambda rows: model_stage.moderate(rows, "doc_id", "text", shares, 0.01))
+        docs, "doc_id", lambda rows: model_stage.moderate(rows, "doc_id", "text", next(tries), 0.01))
     return done.select("doc_id", F.lit(True).alias("ok"), "flagged").unionByName(left.select(
         "doc_id", F.lit(False).alias("ok"), F.lit(None).cast("boolean").alias("flagged")))
 
