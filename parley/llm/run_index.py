@@ -48,6 +48,7 @@ LENGTH = 50
 GRAM = 24
 REACH = LENGTH - GRAM  # bytes of a context on either side of its anchor
 WIDTH = LENGTH + REACH  # of a context
+CLOSE = (REACH + 1) // 2
 SLICE = 2 << 20
 #: Bytes that a bucket of hashes, and one of contexts, should hold.
 BUCKET = 2 << 20
@@ -86,7 +87,10 @@ def _over_windows(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all anchors, ascending, and the hashes there; no string reaches over two texts."""
+    """Places of anchors, ascending, and the hashes there; no string reaches over two texts.
+
+    Every string has one, of the smallest hash in it.
+    """
     places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for begin in range(0, len(data), STRETCH):
         low, high = max(0, begin - REACH), min(len(data), begin + STRETCH + LENGTH)
@@ -103,7 +107,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         chosen = chosen[(chosen + low >= begin) & (chosen + low < begin + STRETCH)]
         places.append(chosen + low)
         hashes.append(h[chosen])
-    return np.concatenate(places), np.concatenate(hashes)
+    return _thinned(np.concatenate(places), np.concatenate(hashes), offsets)
+
+
+def _thinned(places: np.ndarray, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer of the equal anchors that stand close, as in a run of one letter.
+
+    Of those at most ``CLOSE`` apart the first in each ``CLOSE`` bytes and the last stay. So the ones
+    that stay are less than a string's ``REACH`` + 1 places apart, and no string loses all of its own.
+    """
+    if not len(places):
+        return places, hashes
+    text = np.searchsorted(offsets, places, "right")
+    tie = np.r_[False, (hashes[1:] == hashes[:-1]) & (np.diff(places) <= CLOSE) & (text[1:] == text[:-1])]
+    first = places[np.flatnonzero(~tie)][np.cumsum(~tie) - 1]
+    part = (places - first) // CLOSE
+    keep = ~tie | np.r_[True, part[1:] != part[:-1]] | np.r_[~tie[1:], True]
+    return places[keep], hashes[keep]
 
 
 class RunIndex:
@@ -311,23 +331,31 @@ class _Contexts:
 
     def __init__(self, part: _Slice, at: np.ndarray):
         self.places, self.text = part.places[at], part.text[at]
-        low, high = part.offsets[self.text], part.offsets[self.text + 1]
-        begin = np.maximum(low - (self.places - REACH), 0)
-        end = np.minimum(high - (self.places - REACH), WIDTH)
+        found, which, n = [np.zeros((0, WIDTH + 2), np.uint8)], [np.zeros(0, np.int64)], 0
+        for begin in range(0, len(at), 1 << 15):  # a context takes many times the bytes of its place
+            rows, mine = _distinct(self._rows(part, slice(begin, begin + (1 << 15))))
+            found.append(rows)
+            which.append(mine + n)
+            n += len(rows)
+        self.rows, again = _distinct(np.concatenate(found))
+        self.which = again[np.concatenate(which)]
+        self.hashes = np.zeros(len(self.rows), np.uint64)
+        self.hashes[self.which] = part.hashes[at]
+        self.owner = np.full(len(self.rows), np.iinfo(np.int64).max)
+        np.minimum.at(self.owner, self.which, part.ids[self.text])
+
+    def _rows(self, part: _Slice, some: slice) -> np.ndarray:
+        places, text = self.places[some], self.text[some]
+        low, high = part.offsets[text], part.offsets[text + 1]
+        begin = np.maximum(low - (places - REACH), 0)
+        end = np.minimum(high - (places - REACH), WIDTH)
         columns = np.arange(WIDTH)
         inside = (columns >= begin[:, None]) & (columns < end[:, None])
-        index = np.clip(self.places[:, None] - REACH + columns, 0, max(len(part.data) - 1, 0))
-        rows = np.zeros((len(at), WIDTH + 2), np.uint8)
-        if len(at):
-            rows[:, :WIDTH] = part.data[index] * inside
+        index = np.clip(places[:, None] - REACH + columns, 0, max(len(part.data) - 1, 0))
+        rows = np.zeros((len(places), WIDTH + 2), np.uint8)
+        rows[:, :WIDTH] = part.data[index] * inside
         rows[:, WIDTH], rows[:, WIDTH + 1] = begin, end
-        ids = part.ids[self.text]
-        seen = rows.view(f"V{WIDTH + 2}").ravel() if len(at) else np.zeros(0, f"V{WIDTH + 2}")
-        _, first, self.which = np.unique(seen, return_index=True, return_inverse=True)
-        self.rows = rows[first]
-        self.hashes = part.hashes[at][first]
-        self.owner = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(self.owner, self.which, ids)
+        return rows
 
     def in_buckets(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         of = _bucket(self.hashes, buckets)
@@ -337,6 +365,15 @@ class _Contexts:
             yield int(of[order[begin]]), order[begin:end]
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of bytes, and which of them each row is."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    _, first, which = np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(),
+                                return_index=True, return_inverse=True)
+    return rows[first], which
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     # anchors are the smallest hashes of all, so these are spread anew
     return ((mix(hashes + _STEP_ON) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -426,10 +463,10 @@ def _answer_contexts(table: pa.Table) -> pa.Table:
     packed = [_packed(c, n * (WIDTH + 2)) for c, n in zip(table["contexts"].to_pylist(), counts)]
     rows = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, WIDTH + 2)
     owner = np.frombuffer(b"".join(table["owners"].to_pylist()), np.int64)
-    distinct, which = np.unique(np.ascontiguousarray(rows).view(f"V{WIDTH + 2}").ravel(), return_inverse=True)
+    distinct, which = _distinct(rows)
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, which, owner)
-    found = smaller_matches(distinct.view(np.uint8).reshape(-1, WIDTH + 2), least)
+    found = smaller_matches(distinct, least)
     bits, at = [], 0
     for n in counts:
         mine = found[which[at:at + n]] < owner[at:at + n, None]

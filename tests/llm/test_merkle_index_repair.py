@@ -114,7 +114,8 @@ def repetitive(n, rng):
                               "".join(rng.choices("xyz", k=rng.randint(0, 80))), "a" * rng.randint(0, 120)])
                   for _ in range(rng.randint(0, 6))]
         out.append((rng.choice([i, i, i, i // 2, None, -i]), "".join(pieces) or None))
-    out += [(1000, "long " * 20_000), (1001, "x" + "long " * 30_000), out[3], out[3], (-7, None), (8, "")]
+    out += [(1002, "-" * 30_000), (1003, "é" + "-" * 20_000), (1004, "-+" * 9000), (1005, "+" + "-+" * 8000 + "."),
+            (1000, "long " * 20_000), (1001, "x" + "long " * 30_000), out[3], out[3], (-7, None), (8, "")]
     return out
 
 
@@ -160,6 +161,17 @@ def test_anchors_do_not_depend_on_stretches(monkeypatch):
             assert ((whole[0] >= i) & (whole[0] <= i + 26)).any()
 
 
+def test_runs_of_a_letter_have_few_anchors():
+    for data in (b"a" * 9000, b"ab" * 4500, b"abc" * 3000):
+        offsets = np.array([0, 4000, len(data)])
+        places, _ = run_index.anchors(np.frombuffer(data, np.uint8), offsets)
+        assert len(places) < len(data) / 10
+        for begin, end in ((0, 4000), (4000, len(data))):
+            mine = places[(places >= begin) & (places < end)]
+            for i in range(begin, end - 49):
+                assert ((mine >= i) & (mine <= i + 26)).any()
+
+
 # --- conversation repair -----------------------------------------------------------------------
 
 def brute_conversation(rows):
