@@ -175,12 +175,15 @@ def op11_block_string_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op12_run_index_dedup"] = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-places AS (SELECT r, doc_id, h, unnest(range(len(h) // 2)) AS i FROM docs),
-strings AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, {2 * run_index.LENGTH}) AS s FROM places
-            WHERE 2 * (i + {run_index.LENGTH}) <= len(h)),
+pieces AS (SELECT r, doc_id, n, base, substr(h, 2 * base + 1, 2 * (256 + {run_index.LENGTH})) AS piece
+           FROM (SELECT *, len(h) // 2 AS n, unnest(range(0, len(h) // 2, 256)) AS base FROM docs)),
+places AS (SELECT r, doc_id, n, base + k AS i, substr(piece, 2 * k + 1, 2) AS b,
+             substr(piece, 2 * k + 1, {2 * run_index.LENGTH}) AS s
+           FROM (SELECT *, unnest(range(least(256, n - base))) AS k FROM pieces)),
+strings AS (SELECT r, doc_id, i, s FROM places WHERE i + {run_index.LENGTH} <= n),
 least AS (SELECT s, min(doc_id) AS owner FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
 hits AS (SELECT r, i FROM strings JOIN least USING (s) WHERE owner < doc_id),
-marked AS (SELECT p.r, p.i, substr(h, 2 * p.i + 1, 2) AS b, coalesce(p.i - max(hits.i) OVER (
+marked AS (SELECT p.r, p.i, p.b, coalesce(p.i - max(hits.i) OVER (
              PARTITION BY p.r ORDER BY p.i) < {run_index.LENGTH}, false) AS gone
            FROM places p LEFT JOIN hits ON p.r = hits.r AND p.i = hits.i),
 turned AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS starts FROM marked),
