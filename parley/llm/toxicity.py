@@ -3,11 +3,12 @@
 A text is the set of its n-grams of bytes (lower case, everything but letters and digits read as a
 space). Each n-gram's share among toxic and other labelled texts gives a log ratio; a logistic
 classifier is fitted to texts whose features are those ratios. N-grams whose shares differ by less
-than chance would make them, or by a small factor, are left out, which keeps long texts from adding
-up noise.
+than ``LEAST_Z`` standard errors, as chance would make them, are left out, which keeps long texts
+from adding up noise; all others count, however many they are.
 
 Fitting uses at most ``max_rows`` labelled texts, half of them toxic, taken in the order of a hash
-of the id. Scoring reads every text whole.
+of the id. Their features stay in a table; each step of the fit is a job whose tasks sum the gradient
+over it, and the driver holds weights only. Scoring reads every text whole.
 
 Defined cases: a null or empty text has no n-gram and gets the score of the bias alone; several
 labels of one id count as toxic if one is; null labels and labels without a text teach nothing;
@@ -17,7 +18,7 @@ teaches nothing; repeated rows are scored alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +32,11 @@ from parley.session import cut
 SIZES = (4, 5, 6)
 BITS = 20
 MAX_ROWS = 20_000
-MAX_FEATURES = 1 << 14
-LEAST_Z = 4.0
-LEAST_RATIO = 1.0  # longer texts have more of every n-gram, but hardly by this factor
+LEAST_Z = 4.0  # standard errors between an n-gram's two shares
+DECAY = 1e-4
+STOP = 1e-3  # of the gradient's first size
+GRADIENT_TASKS = 8
+GRADIENT_TEXTS = 256
 THRESHOLD = 0.7
 COUNT_BYTES = 1 << 19  # bytes of a slice: n-grams take over a hundred times their bytes while they are sorted
 
@@ -108,7 +111,8 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MA
         side = (known.where(F.col("toxic") == y)
                 .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2))
         drawn = side if drawn is None else drawn.union(side)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    return (docs.where("text is not null").select("doc_id", "text")
+            .join(F.broadcast(drawn), "doc_id").select("text", "toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> Model:
@@ -124,47 +128,85 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
               .withColumn("z", F.abs(F.col("pos") / pos - F.col("neg") / neg)
                           / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12))
               .withColumn("ratio", F.log((F.col("pos") + 1) / (pos + 2)) - F.log((F.col("neg") + 1) / (neg + 2)))
-              .where((F.col("z") >= LEAST_Z) & (F.abs("ratio") >= LEAST_RATIO))
-              .orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect())
-    ratio = np.zeros(1 << BITS)
-    for r in counts:
-        ratio[r.feature] = r.ratio
-    wanted = ratio != 0
+              .where(F.col("z") >= LEAST_Z).select("feature", "ratio").toArrow())
+    chosen = counts.column("feature").to_numpy()
+    order = np.argsort(chosen)
+    chosen, ratio = chosen[order], counts.column("ratio").to_numpy()[order]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in byte_slices(batch.column(0), COUNT_BYTES):
-                text, feature = ngrams(data, offsets, wanted)
+                text, feature = ngrams(data, offsets, place >= 0)
                 ends = np.searchsorted(text, np.arange(len(offsets)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(first, end - first),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))],
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[feature]))],
                     names=["toxic", "features"])
 
-    fitted = train.mapInArrow(rows, "toxic int, features array<int>").toArrow().combine_chunks()
-    y = fitted.column("toxic").to_numpy().astype(np.float64)
-    lists = fitted.column("features").combine_chunks()
-    of = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    return Model(*_logistic(of, lists.flatten().to_numpy().astype(np.int64), ratio, y))
-
-
-def _logistic(text: np.ndarray, feature: np.ndarray, ratio: np.ndarray, y: np.ndarray,
-              steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient steps over all rows, each scaled by its running size."""
-    used, at = np.unique(feature, return_inverse=True)
-    x = ratio[feature]
-    w = np.zeros(len(used) + 1)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        z = np.bincount(text, w[at] * x, len(y)) + w[-1]
-        miss = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
-        g = np.r_[np.bincount(at, miss[text] * x, len(used)) / len(y), miss.mean()]
-        g[:-1] += decay * w[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    out = np.zeros(len(ratio), np.float32)
-    out[used] = w[:-1] * ratio[used]
-    return out, float(w[-1])
+    found = cut(train.mapInArrow(rows, "toxic int, features array<int>")).coalesce(GRADIENT_TASKS)
+    fitted = _minimum(lambda w: _loss(found, ratio, w, pos + neg), np.zeros(len(chosen) + 1))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[chosen] = fitted[:-1] * ratio
+    return Model(weights, float(fitted[-1]))
+
+
+def _loss(found: DataFrame, ratio: np.ndarray, w: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+    """Mean loss over all texts with the penalty on large weights, and its gradient, summed in the tasks."""
+    scaled = w[:-1] * ratio
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, slope = 0.0, np.zeros(len(w))
+        for batch in batches:
+            for first in range(0, batch.num_rows, GRADIENT_TEXTS):
+                some = batch.slice(first, GRADIENT_TEXTS)
+                y = some.column(0).to_numpy().astype(np.float64)
+                feature = some.column(1).flatten().to_numpy()
+                text = np.repeat(np.arange(len(y)), some.column(1).value_lengths().to_numpy())
+                z = np.bincount(text, scaled[feature], len(y)) + w[-1]
+                miss = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
+                loss += float((np.logaddexp(0, z) - y * z).sum())
+                slope[:-1] += np.bincount(feature, miss[text], len(scaled)) * ratio
+                slope[-1] += miss.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()], pa.binary())],
+                                         names=["loss", "slope"])
+
+    parts = found.mapInArrow(part, "loss double, slope binary").collect()  # at most GRADIENT_TASKS rows
+    slope = sum((np.frombuffer(r.slope) for r in parts), np.zeros(len(w))) / n
+    slope[:-1] += DECAY * w[:-1]
+    return sum(r.loss for r in parts) / n + DECAY / 2 * float(w[:-1] @ w[:-1]), slope
+
+
+def _minimum(loss_at: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray,
+             rounds: int = 60, memory: int = 6) -> np.ndarray:
+    """Where a smooth convex function is least, by limited-memory quasi-Newton steps."""
+    loss, slope = loss_at(w)
+    done = STOP * np.linalg.norm(slope)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []  # steps and what they changed in the gradient
+    for _ in range(rounds):
+        if np.linalg.norm(slope) <= done:
+            break
+        way, shares = slope.copy(), []
+        for step, change in reversed(moves):
+            shares.append((step @ way) / (step @ change))
+            way -= shares[-1] * change
+        way *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / np.linalg.norm(slope)
+        for (step, change), share in zip(moves, reversed(shares)):
+            way += (share - (change @ way) / (step @ change)) * step
+        length = 1.0
+        while True:  # shorter until the loss falls as the gradient promises
+            there, slope_there = loss_at(w - length * way)
+            if there <= loss - 1e-4 * length * (slope @ way):
+                break
+            length /= 4
+            if length < 1e-6:
+                return w
+        step, change = -length * way, slope_there - slope
+        if step @ change > 1e-14:
+            moves = (moves + [(step, change)])[-memory:]
+        w, loss, slope = w + step, there, slope_there
+    return w
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str], name: str = "score",
