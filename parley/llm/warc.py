@@ -5,8 +5,10 @@ the pushed filters on the record type and on header fields, and skips the payloa
 record stays and the asked schema has ``payload``. Give a schema without ``payload`` to read headers
 only. Files may be plain or gzipped. Archives of a cluster lie in a folder that ``pyarrow.fs`` opens.
 
-Defined cases: a null payload is written as an empty one; header fields that are absent are null; an
-unfinished record at the end of a file is an error; an empty folder gives no row.
+Defined cases: a null payload is written as an empty one; header fields that are absent are null and
+their names are matched whatever their case; a record that the end of a file cuts off, in its header or
+in its payload, is an error whether its payload is asked for or not, and so is one without a length; an
+empty folder gives no row.
 """
 
 from __future__ import annotations
@@ -147,21 +149,23 @@ class WarcReader(DataSourceReader):
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
         self.columns = schema.names
         self.schema = schema
-        self.wanted: list[tuple[str, set | None]] = []  # header field, allowed values (None: any but null)
+        self.wanted: list[tuple[str, set | None]] = []  # field in lower case, allowed values (None: any but null)
+        self.wanted_names: list[tuple[str, set | None]] = []  # the same for keys of ``headers``, as spelled
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes equality, membership and not-null on header columns; gives back the rest."""
         for f in filters:
             attribute = getattr(f, "attribute", ())
-            field = FIELDS.get(attribute[0]) if len(attribute) == 1 else None
+            field = FIELDS.get(attribute[0], "").lower() if len(attribute) == 1 else None
+            wanted = self.wanted
             if len(attribute) == 2 and attribute[0] == "headers":
-                field = attribute[1]
+                field, wanted = attribute[1], self.wanted_names
             if field and isinstance(f, IsNotNull):
-                self.wanted.append((field, None))
+                wanted.append((field, None))
             elif field and isinstance(f, (EqualTo, EqualNullSafe)) and f.value is not None:
-                self.wanted.append((field, {f.value}))
+                wanted.append((field, {f.value}))
             elif field and isinstance(f, In):
-                self.wanted.append((field, set(f.value)))
+                wanted.append((field, set(f.value)))
             else:
                 yield f
 
@@ -182,9 +186,10 @@ class WarcReader(DataSourceReader):
             held += size
         return [Files(g) for g in groups] or [Files([])]
 
-    def _stays(self, headers: dict[str, str]) -> bool:
-        return all(name in headers and (allowed is None or headers[name] in allowed)
-                   for name, allowed in self.wanted)
+    def _stays(self, headers: dict[str, str], fields: dict[str, str]) -> bool:
+        return all(name in held and (allowed is None or held[name] in allowed)
+                   for held, wanted in ((fields, self.wanted), (headers, self.wanted_names))
+                   for name, allowed in wanted)
 
     def records(self, stream) -> Iterator[tuple[dict[str, str], int, bytes | None]]:
         """Headers, length and, where it is asked for, payload of the records that stay."""
@@ -198,23 +203,31 @@ class WarcReader(DataSourceReader):
             if not line.startswith(b"WARC/"):
                 raise ValueError(f"no WARC record where one should begin: {line[:40]!r}")
             headers, last = {}, ""
-            while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+            while (line := stream.readline()) not in (b"\r\n", b"\n"):
+                if not line.endswith(b"\n"):
+                    raise ValueError("the last record is cut off in its header")
                 text = line.decode("utf-8", "replace").rstrip("\r\n")
                 if text[:1] in " \t" and last:
                     headers[last] += " " + text.strip()
                     continue
                 last, _, value = text.partition(":")
                 headers[last] = value.strip()
-            length = int(headers.get("Content-Length", 0))
-            if self._stays(headers):
-                body = stream.read(length) if payload else None
-                if payload and len(body) < length:
-                    raise ValueError("the last record is cut off")
-                if not payload:
-                    stream.seek(length, 1)
-                yield headers, length, body
+            fields = {name.lower(): value for name, value in headers.items()}
+            if not fields.get("content-length", "").isdigit():
+                raise ValueError("a record without its Content-Length")
+            length = int(fields["content-length"])
+            stays = self._stays(headers, fields)
+            body = stream.read(length) if stays and payload else None
+            if body is None and length:
+                # the last byte is read, as a file can be moved beyond its end
+                stream.seek(length - 1, 1)
+                whole = len(stream.read(1)) == 1
             else:
-                stream.seek(length, 1)
+                whole = len(body or b"") == length
+            if not whole:
+                raise ValueError("the last record is cut off in its payload")
+            if stays:
+                yield headers, length, body
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -240,7 +253,10 @@ class WarcReader(DataSourceReader):
             return body
         if column == "content_length":
             return length
-        return list(headers.items()) if column == "headers" else headers.get(FIELDS.get(column, column))
+        if column == "headers":
+            return list(headers.items())
+        name = FIELDS.get(column, column).lower()
+        return next((value for key, value in headers.items() if key.lower() == name), None)
 
     @staticmethod
     def _batch(rows: list[list], shape: pa.Schema) -> pa.RecordBatch:
