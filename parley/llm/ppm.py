@@ -32,6 +32,7 @@ from parley.llm.arrays import LOWER, KeyIndex, byte_slices, in_fold, scored, tex
 from parley.session import cut
 
 MAX_ROWS = 2_000
+SAMPLE_PARTS = 64
 #: Lengths are told apart by powers of four; the limit lies above nine tenths of the texts by ``SPREADS``
 #: times the distance from the median to the third quartile. A language and length with fewer than ``LEAST_HELD``
 #: texts has no limit of its own and takes the nearest shorter one's, or none.
@@ -176,10 +177,14 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def sample(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS, more: list[str] = []) -> DataFrame:
     """``lang, text`` (and the columns ``more``) of at most ``max_rows`` rows of each language."""
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = (docs.where("lang is not null and text is not null").where(learn)
-             .select("doc_id", "lang").withColumn("nth", F.row_number().over(by_hash))
-             .where(F.col("nth") <= max_rows).select("doc_id", "lang").distinct())
+    def first(rows: DataFrame, *group: str) -> DataFrame:
+        by_hash = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        return rows.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= max_rows)
+
+    # what is first among all of a language is first in its part of them, so parts are cut down alone
+    known = (docs.where("lang is not null and text is not null").where(learn)
+             .select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SAMPLE_PARTS)).alias("part")))
+    drawn = first(first(known, "lang", "part"), "lang").select("doc_id", "lang").distinct()
     return (docs.select("doc_id", "lang", "text").where("text is not null")
             .join(F.broadcast(drawn), ["doc_id", "lang"]).select("lang", "text", *more))
 
