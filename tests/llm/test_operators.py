@@ -379,6 +379,68 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity.scores(docs, none, ["doc_id"]).collect()}.pop() < 1e-9
 
 
+def test_toxicity_fit_is_that_of_plain_descent(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["vile", "scum", "day"] if i % 3 == 0 else ["sun", "vile", "tree", "day"], k=6)))
+            for i in range(90)] + [(90, None), (91, ""), (None, "vile scum")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(92)] + [(1, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    known = [(t, i % 3 == 0) for i, t in rows if i is not None and t is not None]
+    grams = [{f" {t} "[i:i + n] for n in toxicity.SIZES for i in range(len(t) + 3 - n)} if t else set() for t, _ in known]
+    y = np.array([float(toxic) for _, toxic in known])
+    pos, neg = y.sum(), (1 - y).sum()
+    columns = []
+    for gram in sorted(set().union(*grams)):
+        has = np.array([gram in g for g in grams], float)
+        p, n, share = has @ y / pos, has @ (1 - y) / neg, has.mean()
+        if abs(p - n) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12) >= toxicity.LEAST_Z:
+            columns.append(has * (np.log((has @ y + 1) / (pos + 2)) - np.log((has @ (1 - y) + 1) / (neg + 2))))
+    x = np.c_[np.array(columns).T, np.ones(len(y))]
+    assert x.shape[1] - 1 == np.count_nonzero(model.weights)
+    decay = np.r_[np.full(x.shape[1] - 1, toxicity.DECAY), 0]
+    w = np.zeros(x.shape[1])
+    for _ in range(60):  # Newton's steps
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (p - y) / len(y) + decay * w
+        bend = (x.T * (p * (1 - p))) @ x / len(y) + np.diag(decay + 1e-12)
+        w = w - np.linalg.solve(bend, slope)
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, model, ["doc_id"]).collect()}
+    for (i, _), best in zip([(i, t) for i, t in rows if i is not None and t is not None], 1 / (1 + np.exp(-x @ w))):
+        assert got[i] == pytest.approx(best, abs=0.02)
+
+
+def test_toxicity_with_repeated_rows_long_text_and_other_columns(spark):
+    rows = [(i, "vile scum" if i % 2 else "fine day", 1.0, 7) for i in range(40)]
+    rows += [rows[0], rows[1], (50, "vile scum " * 120_000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    got = toxicity.scores(docs, model, docs.columns, "found").collect()
+    assert len(got) == 43 and len({r.found for r in got if r.doc_id in (0, 1)}) == 2
+    assert {r.found > 0.5 for r in got if r.doc_id == 50} == {True}
+
+
+def test_language_sample_is_the_first_of_each_language_by_hash(spark):
+    rows = [(i, "ab" if i % 4 else "cd", "text") for i in range(4000)] + [(7, "ab", "text"), (8000, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = ppm.sample(docs, F.lit(True), 50, ["doc_id"]).collect()
+    order = {r.doc_id: (r.h, r.doc_id) for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    for lang in ("ab", "cd"):
+        every = sorted((i for i, name, _ in rows if name == lang), key=order.get)[:50]
+        assert {r.doc_id for r in got if r.lang == lang} == set(every)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p><img src=" + "A" * 9000 + ">one</p>", "one"),
+    ("<p><a title=it's>two</a> words</p>", "two words"),
+    ("<p title='a>b' lang=\"c>d\">three</p>", "three"),
+    ("<p>four</p><a href=\"never closed", "four"),
+])
+def test_tags_of_any_length_and_quoting(page, text):
+    assert host_suffix.blocks(page)[0] == [text]
+
+
 def test_page_text(spark):
     head = "<html><head><title>T</title><script>x('</p>')</script></head><body class='has-sidebar'>"
     chrome = "<nav><ul><li>Home</li></ul></nav><div class=\"ad\">Buy</div><form>f</form><!-- <p>no</p> -->"
@@ -415,6 +477,37 @@ def test_warc(spark, tmp_path):
     assert [r.refers_to for r in some] == [f"<{warc.ID_PREFIX}5>"]
 
 
+def test_warc_cut_off_archives_fail_and_names_have_no_case(spark, tmp_path):
+    good = (b"WARC/1.1\r\nwarc-type: response\r\nWARC-TARGET-URI: u\r\ncontent-length: 5\r\n\r\nabcde\r\n\r\n"
+            b"WARC/1.1\r\nWARC-Type: revisit\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+    bare = "record_type string, target_uri string, content_length long"
+
+    def of(name, data, schema):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        return warc.read(spark, str(tmp_path / name), schema)
+
+    assert [tuple(r) for r in of("good", good, bare).collect()] == [("response", "u", 5), ("revisit", None, 0)]
+    assert [r.record_type for r in of("kept", good, bare).where("record_type = 'response'").collect()] == ["response"]
+    head = good.index(b"abcde")
+    for name, data in {"payload": good[:head + 3], "none": good[:head], "header": good[:head - 6],
+                       "length": good.replace(b"content-length: 5", b"other: 5")}.items():
+        for schema in (bare, bare + ", payload binary"):
+            with pytest.raises(Exception, match="cut off|Content-Length"):
+                of(f"{name}{len(schema)}", data, schema).collect()
+        with pytest.raises(Exception, match="cut off|Content-Length"):
+            of(f"{name} filtered", data, bare).where("record_type = 'metadata'").collect()
+
+
+def test_warc_pages_without_rows_and_with_other_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 300_000, "a", 1), (2, "u", None, "b", 2)],
+                                  "page_id long, url string, html string, payload string, refers_to int")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert got[1].payload_bytes == 300_000 and got[2].payload_bytes == 0
+    assert {r.record_type for r in got.values()} == {"response"}
+    assert warc.round_trip(pages.limit(0)).collect() == []
+
+
 def test_warc_joins_keep_repeated_rows(spark):
     """Equal results by the join and by the broadcast, where rows and ids are repeated."""
     rows = [(1, "a", "same"), (1, "a", "same"), (1, "a", "same"), (9, "b", "same"), (9, "b", "same"),
