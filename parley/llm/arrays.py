@@ -172,16 +172,18 @@ def scored(df: DataFrame, keep: list[str], text: str, fields: str,
     """``keep`` columns beside what ``scorer`` finds from the bytes of each slice of texts."""
     schema = StructType([df.schema[c] for c in keep] + list(StructType.fromDDL(fields)))
     kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(fields)]
+    at = keep.index(text) if text in keep else len(keep)  # a text that is kept is not sent twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in byte_slices(batch.column(len(keep)), limit):
+            for first, end, data, offsets in byte_slices(batch.column(at), limit):
                 found = scorer(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(first, end - first) for i in range(len(keep))]
                     + [pa.array(x, kind) for x, kind in zip(found, kinds)], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("scored text")).mapInArrow(run, schema)
+    sent = [F.col(f"`{c}`") for c in keep] + ([F.col(text).alias("scored text")] if at == len(keep) else [])
+    return df.select(*sent).mapInArrow(run, schema)
 
 
 class KeyIndex:

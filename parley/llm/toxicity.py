@@ -38,7 +38,8 @@ STOP = 1e-3  # of the gradient's first size
 GRADIENT_TASKS = 8
 GRADIENT_TEXTS = 256
 THRESHOLD = 0.7
-COUNT_BYTES = 1 << 19  # bytes of a slice: n-grams take over a hundred times their bytes while they are sorted
+SCORE_BYTES = 1 << 16
+COUNT_BYTES = 1 << 17  # bytes of a slice: n-grams take over a hundred times their bytes while they are sorted
 
 _AS_SPACE = LOWER.copy()
 _AS_SPACE[[b for b in range(128) if not chr(b).isalnum()]] = 32
@@ -213,4 +214,4 @@ def scores(docs: DataFrame, model: Model, keep: list[str], name: str = "score",
            text: str = "text") -> DataFrame:
     """``keep`` columns and the score of every row."""
     return scored(docs, keep, text, f"`{name}` double",
-                  lambda data, offsets: [model.scores(data, offsets)], COUNT_BYTES)
+                  lambda data, offsets: [model.scores(data, offsets)], SCORE_BYTES)
