@@ -5,9 +5,12 @@ can hold an answer. With unit vectors the angle is a metric, so a cell whose nea
 farther than the search angle is skipped without losing anything: the search stays exact.
 ``probes`` visits a fixed number of nearest cells instead and may miss neighbours.
 
-Inside a cell, candidates and queries are cut into blocks of bounded size that meet pairwise in
+Cells that follow each other are bundled up to the size of a block, and a query is sent once to each
+bundle with a cell it must visit, so its copies grow with the blocks of the table, not with its cells.
+Candidates and queries of a bundle are cut into blocks of bounded size that meet pairwise in
 separate tasks. A task emits, per query, its best few candidates and never the pairs it looked at.
-A candidate side that is counted to fit is sent to every task whole, with no shuffle.
+A candidate side that is counted to fit is sent to every task whole, with no shuffle. Products of
+blocks are made in steps of bounded size, whatever the sides.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import types as T
 from parley.operators.joins import lookup
 from parley.session import cut
 
-BLOCK_ROWS = 4096  # rows of one side in one block
+BLOCK_ROWS = 4096  # rows of one side in one block, at least
+BLOCK_VALUES = 2_000_000  # values of one side in one block (16 MB as doubles)
+STEP_VALUES = 2_000_000  # similarities that a task holds at once
 SMALL_VALUES = 8_000_000  # values of a matrix that may go to every task (64 MB as doubles)
 SLACK = 1e-7  # radians; covers rounding in the angle bounds
 HIT_SCHEMA = "id long, nbr long, sim double, firm boolean"
@@ -160,8 +165,22 @@ class CellStats:
     rows: np.ndarray
     radius: np.ndarray  # largest angle in the cell; -1 where it is empty
 
-    def blocks(self, block_rows: int) -> np.ndarray:
-        return np.ceil(self.rows / block_rows).astype("int64")
+
+def block_size(dimension: int) -> int:
+    """Rows of one side in one block, for vectors of this length."""
+    return max(BLOCK_ROWS, BLOCK_VALUES // max(dimension, 1))
+
+
+def bundle_cells(stats: CellStats, block_rows: int) -> np.ndarray:
+    """Bundle of each cell: cells that follow each other, up to ``block_rows`` rows; a larger one is alone."""
+    out = np.zeros(len(stats.rows), "int64")
+    number = held = 0
+    for cell, n in enumerate(stats.rows.tolist()):
+        if held and held + n > block_rows:
+            number, held = number + 1, 0
+        out[cell] = number
+        held += n
+    return out
 
 
 def cell_stats(placed: DataFrame, cells: int) -> CellStats:
@@ -172,16 +191,17 @@ def cell_stats(placed: DataFrame, cells: int) -> CellStats:
     return stats
 
 
-def probe(queries: DataFrame, pivots: Pivots, stats: CellStats, reach: str | None,
+def probe(queries: DataFrame, pivots: Pivots, stats: CellStats, bundles: np.ndarray, reach: str | None,
           probes: int | None = None, skip_own: bool = False) -> DataFrame:
-    """Replace each query by one row per cell it must visit (column ``cell``).
+    """Add ``visits``, the bundles of cells that each query must look at.
 
     ``reach`` names the column with the query's search angle; ``probes`` limits the visit to that
-    many nearest cells.
+    many nearest cells. ``skip_own`` leaves out the bundle of the query's own cell.
     """
     shared = queries.sparkSession.sparkContext.broadcast((pivots.matrix, stats.radius))
     kept = [c for c in queries.columns if c not in ("cell", "angle")]
-    schema = _schema_with(queries.select(*kept), ("cell", T.IntegerType()))
+    schema = _schema_with(queries.select(*kept), ("visits", T.ArrayType(T.IntegerType())))
+    starts = np.flatnonzero(np.r_[True, bundles[1:] != bundles[:-1]])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix, radius = shared.value
@@ -195,17 +215,14 @@ def probe(queries: DataFrame, pivots: Pivots, stats: CellStats, reach: str | Non
                 ranked = np.where(radius >= 0, angles, np.inf)
                 cutoff = np.partition(ranked, probes - 1, axis=1)[:, probes - 1]
                 wanted &= ranked <= cutoff[:, None]
+            wanted = np.logical_or.reduceat(wanted, starts, axis=1)
             if skip_own:
-                own = batch["cell"].to_numpy(zero_copy_only=False)
+                own = bundles[batch["cell"].to_numpy(zero_copy_only=False)]
                 wanted[np.arange(len(own)), own] = False
-            which, cell = np.nonzero(wanted)
-            # emit in slices so that one batch of wide vectors never grows without limit
-            for at in range(0, len(which), 16_384):
-                part = batch.take(pa.array(which[at:at + 16_384]))
-                yield pa.RecordBatch.from_arrays(
-                    [*[part[c] for c in kept], pa.array(cell[at:at + 16_384].astype("int32"))],
-                    names=[*kept, "cell"],
-                )
+            which, found = np.nonzero(wanted)
+            ends = np.searchsorted(which, np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], lists], names=[*kept, "visits"])
 
     return queries.mapInArrow(visit, schema)
 
@@ -213,31 +230,49 @@ def probe(queries: DataFrame, pivots: Pivots, stats: CellStats, reach: str | Non
 def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
     """Hits of the queries ``q`` among the candidates ``c``.
 
-    ``mode`` is "nearest" (the k most similar, ties by id) or "earlier" (one witness at or above
+    ``mode`` is "nearest" (the k most similar, ties by id; where queries have a ``floor``, only those
+    at least as similar as that) or "earlier" (one witness at or above
     the threshold that stands before the query: settled ones first, then the smallest id). Where
-    both sides have a ``home``, "earlier" looks at rows of another one only.
+    both sides have a ``home``, "earlier" looks at rows of another one only. Where queries have ``bits``,
+    they look only at the candidates whose number ``cell`` is among the bits set.
     """
     qid = q["id"].to_numpy()
     cid = c["id"].to_numpy()
-    order = np.argsort(cid, kind="stable")
-    cid, cvec = cid[order], to_matrix(c["vec"])[order]
+    cvec = to_matrix(c["vec"])
+    order = slice(None)
+    if (cid[1:] < cid[:-1]).any():
+        order = np.argsort(cid, kind="stable")
+        cid, cvec = cid[order], cvec[order]
     settled = c["settled"].to_numpy()[order].astype(bool) if "settled" in c.schema.names else None
     qvec = to_matrix(q["vec"])
     homes = None
     if "home" in q.schema.names and "home" in c.schema.names:
         homes = q["home"].to_numpy(), c["home"].to_numpy()[order]
+    bits = None
+    if "bits" in q.schema.names:
+        cell = c["cell"].to_numpy()[order]
+        bits = np.frombuffer(b"".join(q["bits"].to_pylist()), np.uint8).reshape(len(qid), -1)
+    floor = q["floor"].to_numpy() if "floor" in q.schema.names else np.full(len(qid), -np.inf)
     out_q, out_n, out_s, out_f = [], [], [], []
-    for at in range(0, len(qid), 1024):
-        ids = qid[at:at + 1024]
-        sims = qvec[at:at + 1024] @ cvec.T
+    step = max(1, STEP_VALUES // max(len(cid), 1))
+    for at in range(0, len(qid), step):
+        ids = qid[at:at + step]
+        sims = qvec[at:at + step] @ cvec.T
         if task["mode"] == "nearest":
             sims[ids[:, None] == cid[None, :]] = -np.inf
+            if bits is not None:
+                unseen = np.unpackbits(bits[at:at + step], axis=1) == 0
+                if unseen.any():
+                    sims[unseen[:, cell]] = -np.inf
             k = min(task["k"], sims.shape[1])
+            # the k-th best of a part lies no higher than that of all, and few others reach it
+            part = sims[:, :max(k + 1, sims.shape[1] // 16)]
+            edge = -np.partition(-part, k - 1, axis=1)[:, k - 1]
+            least = np.maximum(edge, floor[at:at + step]) - 2e-12
+            rows, cols = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
             # rounding makes equal similarities equal, so that the id decides
-            keyed = np.round(sims, 12)
-            edge = -np.partition(-keyed, k - 1, axis=1)[:, k - 1]
-            rows, cols = np.nonzero((keyed >= edge[:, None]) & np.isfinite(keyed))
-            rank = np.lexsort((cid[cols], -keyed[rows, cols], rows))
+            keyed = np.round(sims[rows, cols], 12)
+            rank = np.lexsort((cid[cols], -keyed, rows))
             rows, cols = rows[rank], cols[rank]
             first = np.searchsorted(rows, rows, side="left")
             keep = np.arange(len(rows)) - first < k
@@ -245,7 +280,7 @@ def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
         else:
             hit = (sims >= task["threshold"]) & (cid[None, :] < ids[:, None])
             if homes is not None:
-                hit &= homes[0][at:at + 1024, None] != homes[1][None, :]
+                hit &= homes[0][at:at + step, None] != homes[1][None, :]
             rows = np.nonzero(hit.any(axis=1))[0]
             cols = hit[rows].argmax(axis=1)
             if settled is not None and settled.any():
@@ -264,7 +299,7 @@ def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
 
 def against_small(queries: DataFrame, candidates: pa.Table, task: dict) -> DataFrame:
     """Search a candidate table that fits in every task."""
-    shared = queries.sparkSession.sparkContext.broadcast(candidates)
+    shared = queries.sparkSession.sparkContext.broadcast(candidates.sort_by("id"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,34 +311,38 @@ def against_small(queries: DataFrame, candidates: pa.Table, task: dict) -> DataF
     return queries.select("id", "vec", *home).mapInArrow(scan, HIT_SCHEMA)
 
 
-def in_blocks(queries: DataFrame, candidates: DataFrame, stats: CellStats, task: dict,
-              block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Search per cell: ``queries`` hold one row per visit, ``candidates`` one row each.
+def in_blocks(queries: DataFrame, candidates: DataFrame, stats: CellStats, bundles: np.ndarray, task: dict,
+              block_rows: int) -> DataFrame:
+    """Search per bundle: ``queries`` have the bundles to look at in ``visits``, ``candidates`` their ``cell``.
 
-    A cell of many candidates is cut into blocks, every visit goes to all of them; a cell with
-    many visits is cut likewise on the query side. Each (candidate block, query block) is a task
-    group of at most about ``block_rows`` rows per side.
+    A bundle of many candidates (one large cell) is cut into blocks, every visit goes to all of them;
+    a bundle with many visits is cut likewise on the query side. Each (candidate block, query block)
+    is a task group of at most about ``block_rows`` rows per side.
     """
     spark = queries.sparkSession
-    visits = {r[0]: r[1] for r in queries.groupBy("cell").count().collect()}  # one row per cell
-    cblocks = np.maximum(stats.blocks(block_rows), 1)
+    rows = np.bincount(bundles, stats.rows)
+    cblocks = np.maximum(np.ceil(rows / block_rows), 1).astype("int64")
     qblocks = np.ones_like(cblocks)
-    for cell, n in visits.items():
-        qblocks[cell] = max(1, math.ceil(n / block_rows))
+    load = queries.select(F.explode("visits").alias("bundle")).groupBy("bundle").count()
+    for bundle, n in load.collect():  # one row per bundle
+        qblocks[bundle] = max(1, math.ceil(n / block_rows))
     plan = F.broadcast(spark.createDataFrame(
-        [(int(i), int(a), int(b)) for i, (a, b) in enumerate(zip(cblocks, qblocks))],
-        "cell int, _cb long, _qb long"))  # one row per cell
+        [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(cblocks, qblocks))],
+        "bundle int, _cb long, _qb long"))  # one row per bundle
+    of_cell = F.broadcast(spark.createDataFrame(
+        [(i, int(b)) for i, b in enumerate(bundles)], "cell int, bundle int"))  # one row per cell
 
     def upto(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    q = queries.join(plan, "cell").withColumn("_q", F.pmod(F.xxhash64("id"), "_qb")).withColumn(
-        "_c", upto("_cb")).drop("_cb", "_qb")
+    given = [c for c in queries.columns if c != "visits"]
+    q = queries.select(*given, F.explode("visits").alias("bundle")).join(plan, "bundle").withColumn(
+        "_q", F.pmod(F.xxhash64("id"), "_qb")).withColumn("_c", upto("_cb")).drop("_cb", "_qb")
     # fresh column identities: both sides may come from one table
     candidates = candidates.select(*[F.col(name).alias(name) for name in candidates.columns])
-    c = candidates.join(plan, "cell").withColumn("_c", F.pmod(F.xxhash64("id"), "_cb")).withColumn(
-        "_q", upto("_qb")).drop("_cb", "_qb")
-    keys = ["cell", "_c", "_q"]
+    c = candidates.join(of_cell, "cell").drop("cell").join(plan, "bundle").withColumn(
+        "_c", F.pmod(F.xxhash64("id"), "_cb")).withColumn("_q", upto("_qb")).drop("_cb", "_qb")
+    keys = ["bundle", "_c", "_q"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
@@ -347,7 +386,7 @@ def _distinct_vectors(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]
 
 def nearest_neighbours(
     vectors: DataFrame, k: int = 10, *, probes: int | None = None, pivots: Pivots | None = None,
-    cells: int | None = None, small_values: int = SMALL_VALUES, block_rows: int = BLOCK_ROWS,
+    cells: int | None = None, small_values: int = SMALL_VALUES, block_rows: int | None = None,
 ) -> DataFrame:
     """(id, nbr, sim, rank): the k most similar other rows of every row.
 
@@ -370,18 +409,25 @@ def nearest_neighbours(
             pivots = pick_pivots(distinct, cells or default_cells(n))
         placed = place(distinct, pivots)
         stats = cell_stats(placed, pivots.cells)
+        block_rows = block_rows or block_size(dimension)
         if probes is not None:
-            hits = in_blocks(probe(placed, pivots, stats, None, probes), placed, stats, task, block_rows)
+            alone = np.arange(pivots.cells)
+            asked = cut(probe(placed, pivots, stats, alone, None, probes))
+            hits = in_blocks(asked, placed.drop("angle"), stats, alone, task, block_rows)
         else:
+            bundles = bundle_cells(stats, block_rows)
+            # literal list: as many entries as cells
+            own_bundle = F.element_at(F.lit(bundles.tolist()), F.col("cell") + 1).cast("int")
             own = cut(keep_nearest(in_blocks(
-                placed.drop("angle"), placed.drop("angle"), stats, task, block_rows), k))
-            bound = own.where(F.col("rank") == k).select("id", F.acos(
-                F.greatest(F.least("sim", F.lit(1.0)), F.lit(-1.0))).alias("reach"))
+                placed.select("id", "vec", F.array(own_bundle).alias("visits")), placed.drop("angle"),
+                stats, bundles, task, block_rows), k))
+            bound = own.where(F.col("rank") == k).select("id", F.greatest(
+                F.least("sim", F.lit(1.0)), F.lit(-1.0)).alias("floor"))
             seeking = placed.join(bound, "id", "left").withColumn(
-                "reach", F.coalesce("reach", F.lit(math.pi)))
-            rest = in_blocks(
-                cut(probe(seeking, pivots, stats, "reach", skip_own=True).drop("reach")),
-                placed.drop("angle"), stats, task, block_rows)
+                "floor", F.coalesce("floor", F.lit(-1.0))).withColumn("reach", F.acos("floor"))
+            asked = cut(probe(seeking, pivots, stats, bundles, "reach", skip_own=True).drop("reach"))
+            rest = in_blocks(asked.withColumn("floor", F.col("floor") - 1e-9), placed.drop("angle"),
+                             stats, bundles, task, block_rows)
             hits = own.drop("rank").unionByName(rest)
     best = keep_nearest(hits, k).select("id", "nbr", "sim", "rank")
     if reps.where("copies > 1").isEmpty():
@@ -425,7 +471,7 @@ def _with_copies(best: DataFrame, vectors: DataFrame, reps: DataFrame, members:
 
 def near_existing(
     new: DataFrame, existing: DataFrame, threshold: float, *, probes: int | None = None,
-    cells: int | None = None, small_values: int = SMALL_VALUES, block_rows: int = BLOCK_ROWS,
+    cells: int | None = None, small_values: int = SMALL_VALUES, block_rows: int | None = None,
 ) -> DataFrame:
     """Ids of ``new`` vectors with an ``existing`` one at or above the threshold.
 
@@ -455,7 +501,7 @@ def below_zero(vectors: DataFrame) -> DataFrame:
 def earlier_witness(
     queries: DataFrame, candidates: DataFrame, threshold: float, *, probes: int | None = None,
     pivots: Pivots | None = None, cells: int | None = None, small_values: int = SMALL_VALUES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(id, nbr, sim, firm): a candidate of smaller id at or above the threshold for each query.
 
@@ -472,8 +518,10 @@ def earlier_witness(
         pivots = pick_pivots(candidates.select("id", "vec"), cells or default_cells(candidates.count()))
     placed = candidates if "cell" in candidates.columns else place(candidates, pivots)
     stats = cell_stats(placed, pivots.cells)
+    block_rows = block_rows or block_size(dimension)
+    bundles = bundle_cells(stats, block_rows) if probes is None else np.arange(pivots.cells)
     angle = math.acos(min(1.0, max(-1.0, threshold)))
     home = ["home"] if "home" in queries.columns else []
-    visits = cut(probe(queries.select("id", "vec", *home).withColumn("reach", F.lit(angle)),
-                       pivots, stats, "reach", probes).drop("reach"))
-    return in_blocks(visits, placed.drop("angle"), stats, task, block_rows)
+    asked = cut(probe(queries.select("id", "vec", *home).withColumn("reach", F.lit(angle)),
+                      pivots, stats, bundles, "reach", probes).drop("reach"))
+    return in_blocks(asked, placed.drop("angle"), stats, bundles, task, block_rows)

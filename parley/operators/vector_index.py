@@ -6,7 +6,9 @@ deepens until every cell is small: the number of cells grows with the rows, thei
 hash of the cell, sorted by cell and block inside.
 
 A search ranks cells by the similarity of query and pivot, takes the ``probes`` best, and reads the
-folders of those alone (a partition filter). Inside a cell, blocks of queries meet blocks of rows;
+folders of those alone (a partition filter). Cells are bundled, the more the larger the share of
+them that a query visits, and a query goes once to each bundle with a bit for each cell it visits there:
+its copies grow with the bundles, not with the cells. In a bundle, blocks of queries meet blocks of rows;
 tasks give their few best candidates, never pairs. A tree that is counted to be small is sent to
 every task; a larger one is descended level by level with joins that keep a beam per query.
 
@@ -139,7 +141,7 @@ class VectorIndex:
         def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, pivots = shared.value
             keep = min(probes, len(names))
-            for batch in sim.slices(batches):
+            for batch in sim.slices(batches, max(1, 16_384 // max(keep, 1))):
                 if not keep:
                     continue
                 likeness = sim.to_matrix(batch["vec"]) @ pivots.T
@@ -170,36 +172,112 @@ class VectorIndex:
                 return found.join(used, "cell", "left_semi").select("id", "vec", "cell")
             open_ = open_.drop("likeness")
 
-    def search(self, queries: DataFrame, k: int, probes: int, block_rows: int = sim.BLOCK_ROWS,
+    def search(self, queries: DataFrame, k: int, probes: int, block_rows: int | None = None,
                small_values: int = sim.SMALL_VALUES) -> DataFrame:
         """``id, nbr, sim, rank`` of the ``k`` best rows found for each query (id, vec), not itself."""
-        asked = cut(self.visits(sim.unit_vectors(queries).drop("key"), probes, small_values))
-        load = asked.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-        if self.leaves(small_values) is not None:  # then cells are few, too
-            known = {c: (b, s) for c, b, s in zip(*[self._leaves[x].to_pylist() for x in ("cell", "blocks", "shard")])}
-            visited = [(r.cell, r.parts, *known[r.cell]) for r in load.collect() if r.cell in known]
-            plan = self.spark.createDataFrame(visited, "cell string, parts long, blocks long, shard int")
-            shards = sorted({v[3] for v in visited})
-            plan = F.broadcast(plan)
+        queries = sim.unit_vectors(queries).drop("key")
+        table = self.leaves(small_values)
+        if table is not None and not table["vec"].null_count and table.num_rows:
+            hits = self._in_bundles(queries, table, k, probes, block_rows)
         else:
-            plan = cut(load.join(self.cells(), "cell"))
-            shards = [r.shard for r in plan.select("shard").distinct().collect()]  # one number per folder
+            hits = self._in_cells(queries, k, probes, block_rows or sim.BLOCK_ROWS, small_values)
+        return sim.keep_nearest(hits, k).select("id", "nbr", "sim", "rank")
+
+    def _in_bundles(self, queries: DataFrame, table: pa.Table, k: int, probes: int,
+                    block_rows: int | None) -> DataFrame:
+        """Hits of each query in its ``probes`` best cells, where there are few enough to list them."""
+        table = table.sort_by([("shard", "ascending"), ("cell", "ascending")])
+        names, pivots = table["cell"].to_pylist(), sim.to_matrix(table["vec"])
+        keep = min(probes, len(names))
+        block_rows = block_rows or sim.block_size(pivots.shape[1])
+        rows = table["n"].to_numpy()
+        bundles = sim.bundle_cells(sim.CellStats(rows, np.zeros(len(rows))), max(1, block_rows * keep // len(names)))
+        first = np.flatnonzero(np.r_[True, bundles[1:] != bundles[:-1]])
+        ends = np.r_[first[1:], len(names)]
+        shared = self.spark.sparkContext.broadcast(pivots)
+
+        def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sim.slices(batches, max(1, sim.STEP_VALUES // len(names))):
+                likeness = sim.to_matrix(batch["vec"]) @ shared.value.T
+                best = np.argpartition(-likeness, keep - 1, axis=1)[:, :keep]
+                seen = np.zeros(likeness.shape, bool)
+                seen[np.arange(len(best))[:, None], best] = True
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"], batch["vec"], pa.array([r.tobytes() for r in np.packbits(seen, axis=1)], pa.binary())],
+                    names=["id", "vec", "bits"])
+
+        def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+            """(batch, bundle, rows that visit it, their bits of its cells)"""
+            for batch in sim.slices(batches, max(1, sim.STEP_VALUES // len(names))):
+                packed = np.frombuffer(b"".join(batch["bits"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                seen = np.unpackbits(packed, axis=1, count=len(names))
+                for bundle, (a, b) in enumerate(zip(first, ends)):
+                    which = np.flatnonzero(seen[:, a:b].any(axis=1))
+                    if len(which):
+                        yield batch, bundle, which, seen[which, a:b]
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = np.zeros(len(first), np.int64)
+            for _, bundle, which, _ in parted(batches):
+                found[bundle] += len(which)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(first)), pa.int32()), pa.array(found)],
+                                             names=["bundle", "n"])
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, bundle, which, seen in parted(batches):
+                part = batch.take(pa.array(which))
+                yield pa.RecordBatch.from_arrays(
+                    [part["id"], part["vec"], pa.array([r.tobytes() for r in np.packbits(seen, axis=1)], pa.binary()),
+                     pa.array(np.full(len(which), bundle), pa.int32())], names=["id", "vec", "bits", "bundle"])
+
+        asked = cut(queries.select("id", "vec").mapInArrow(rank, "id long, vec array<double>, bits binary"))
+        load = asked.mapInArrow(tally, "bundle int, n long").groupBy("bundle").agg(F.sum("n").alias("n")).collect()
+        parts = np.zeros(len(first), np.int64)
+        for r in load:  # one row per bundle
+            parts[r.bundle] = -(-r.n // block_rows)
+        # a cell that is a bundle of its own keeps the blocks it is stored in
+        blocks = np.where(ends - first == 1, table["blocks"].to_numpy()[first], 1)
+        plan = F.broadcast(self.spark.createDataFrame(
+            [(i, int(p), int(n)) for i, (p, n) in enumerate(zip(parts, blocks)) if p],
+            "bundle int, parts long, blocks long"))
+        of_cell = F.broadcast(self.spark.createDataFrame(  # one row per cell
+            [(name, int(i), int(at - first[i])) for at, (name, i) in enumerate(zip(names, bundles)) if parts[i]],
+            "cell string, bundle int, number int"))
+        shards = sorted({s for s, i in zip(table["shard"].to_pylist(), bundles) if parts[i]})
+        q = (asked.mapInArrow(send, "id long, vec array<double>, bits binary, bundle int").join(plan, "bundle")
+             .select("id", "vec", "bits", "bundle", F.pmod(F.xxhash64("id"), "parts").alias("part"),
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")))
+        c = self.rows(shards).join(of_cell, "cell").join(plan, "bundle").select(
+            "id", "vec", F.col("number").alias("cell"), "bundle",
+            F.when(F.col("blocks") > 1, F.col("block")).otherwise(F.lit(0)).cast("long").alias("block"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+        return _meet(q, c, ["bundle", "block", "part"], k)
+
+    def _in_cells(self, queries: DataFrame, k: int, probes: int, block_rows: int, small_values: int) -> DataFrame:
+        """Hits of each query in the cells that it visits, with a copy of the query for each."""
+        asked = cut(self.visits(queries, probes, small_values))
+        load = asked.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
+        plan = cut(load.join(self.cells(), "cell"))
+        shards = [r.shard for r in plan.select("shard").distinct().collect()]  # one number per folder
         q = asked.join(plan.select("cell", "parts", "blocks"), "cell").select(
             "id", "vec", "cell", F.pmod(F.xxhash64("id"), "parts").alias("part"),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         c = self.rows(shards).join(plan.select("cell", "parts"), "cell").select(
             "id", "vec", "cell", "block",
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        task = {"mode": "nearest", "k": k}
+        return _meet(q, c, ["cell", "block", "part"], k)
 
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return sim.NO_HITS
-            return sim._best(task, left, right)
 
-        keys = ["cell", "block", "part"]
-        hits = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, sim.HIT_SCHEMA)
-        return sim.keep_nearest(hits, k).select("id", "nbr", "sim", "rank")
+def _meet(queries: DataFrame, rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The ``k`` best rows of each query in each group of ``keys``."""
+    task = {"mode": "nearest", "k": k}
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return sim.NO_HITS
+        return sim._best(task, left, right)
+
+    return queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(meet, sim.HIT_SCHEMA)
 
 
 def build(vectors: DataFrame, path: str, *, leaf_rows: int = LEAF_ROWS, fan: int = FAN,

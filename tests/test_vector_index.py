@@ -94,3 +94,24 @@ def test_visits_wait_only_for_rows_elsewhere():
     assert visit_in_order(near, np.array([True, False, False, False])).tolist() == [0, 0, 0, 0]
     near[2, 0] = True
     assert visit_in_order(near, np.array([False, True, False, False])).tolist() == [1, 2, 2, 1]
+
+
+def test_a_query_goes_once_to_a_bundle_of_cells(spark, folder, monkeypatch):
+    """Nine tenths of all cells are visited without a copy of the query for each."""
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    index = vector_index.build(frame(spark, x), f"{folder}/index", leaf_rows=12, shard_rows=60)
+    cells = index.cells().count()
+    sent = []
+    original = vector_index._meet
+    monkeypatch.setattr(vector_index, "_meet", lambda q, *a: sent.append(q.count()) or original(q, *a))
+    found = {(r.id, r.nbr) for r in index.search(frame(spark, x), 5, cells * 9 // 10, block_rows=100).collect()}
+    assert cells > 30 and sent[0] <= 300 * 6
+    assert found == {(r.id, r.nbr) for r in sim_of_cells(index, frame(spark, x), 5, cells * 9 // 10)}
+
+
+def sim_of_cells(index, queries, k, probes):
+    """The same cells, each searched alone."""
+    from parley.operators import similarity
+
+    hits = index._in_cells(similarity.unit_vectors(queries).drop("key"), k, probes, 100, similarity.SMALL_VALUES)
+    return similarity.keep_nearest(hits, k).collect()
