@@ -8,7 +8,10 @@ round only where it crosses from one block to another, and a round needs only *o
 of another block per waiting row: no list of pairs ever exists, however many copies a group has.
 
 Rows that are counted to fit into every task are cut into blocks by their order and meet as one
-matrix per block; beyond that a block is a part of a cell (see ``similarity``).
+matrix per block. Of more rows the first ones, as many as fit, are settled so, and what is near a
+survivor of theirs goes; this repeats while it at least halves the rows, so all repeats together
+read about twice the rows. What is then left has few near rows: there a block is a part of a cell
+(see ``similarity``).
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from parley.operators import similarity as sim
 from parley.session import cut
 
 LEADERS = 2048
+AHEAD_VALUES = 2_000_000  # values of the rows that are settled at once (16 MB as doubles)
+HOME_ROWS = 4096  # rows of a block that is a part of a cell, at most
 ORDER_BLOCK = 1024  # rows of a block where all rows fit into every task
 WAITING, KEPT, REMOVED = 0, 1, 2
 
@@ -31,8 +36,8 @@ WAITING, KEPT, REMOVED = 0, 1, 2
 def greedy_survivors(
     vectors: DataFrame, threshold: float, *, existing: DataFrame | None = None,
     probes: int | None = None, cells: int | None = None,
-    small_values: int = sim.SMALL_VALUES, block_rows: int = sim.BLOCK_ROWS,
-    leaders: int = LEADERS,
+    small_values: int = sim.SMALL_VALUES, block_rows: int | None = None,
+    leaders: int = LEADERS, ahead_values: int = AHEAD_VALUES,
 ) -> DataFrame:
     """(id, kept) for every row of ``vectors`` = (id, vec); ids give the order.
 
@@ -51,16 +56,24 @@ def greedy_survivors(
     if existing is not None:
         kept.append(cut(sim.unit_vectors(sim.below_zero(existing)).select("id", "vec")))
     dimension = sim.dimension_of(waiting)
-    pivots = None
-    if probes is not None or not sim.fits(_pool(waiting, kept), dimension, small_values):
+    small = min(small_values, ahead_values)
+    if probes is None and sim.fits(_pool(waiting, kept), dimension, small):
+        return _answer(rows, low, _settle_small(waiting, kept, threshold))
+    done = None
+    if probes is None and small:
+        if kept:
+            near = sim.earlier_witness(waiting, kept[0], threshold, small_values=small_values, cells=cells,
+                                       block_rows=block_rows)
+            waiting = cut(waiting.join(near.select("id").distinct(), "id", "left_anti"))
+            kept = []
+        waiting, done = _settle_ahead(waiting, threshold, max(1, small // max(dimension, 1)))
+    if not waiting.isEmpty():
         pivots = sim.pick_pivots(waiting, cells or sim.default_cells(waiting.count()))
         waiting = sim.place(waiting, pivots)
         kept = [sim.place(k, pivots) for k in kept]
-    if pivots is None:
-        return _answer(rows, low, _settle_small(waiting, kept, threshold))
-    leaders = min(leaders, max(1, sim.SMALL_VALUES // max(dimension, 1)))
-    search = {"probes": probes, "pivots": pivots, "block_rows": block_rows}
-    waiting = cut(_with_home(waiting, block_rows))
+        leaders = min(leaders, max(1, sim.SMALL_VALUES // max(dimension, 1)))
+        search = {"probes": probes, "pivots": pivots, "block_rows": block_rows}
+        waiting = cut(_with_home(waiting, min(block_rows or HOME_ROWS, HOME_ROWS)))
     fresh, kept = kept[-1] if kept else None, []
     while not waiting.isEmpty():
         if fresh is not None:
@@ -70,7 +83,7 @@ def greedy_survivors(
         fresh = judged.where(F.col("status") == KEPT).drop("status", "home")
         waiting = judged.where(F.col("status") == WAITING).drop("status")
         kept.append(fresh)
-    survivors = None
+    survivors = done
     for part in kept:
         part = part.where("id >= 0").select("id", F.lit(True).alias("kept"))
         survivors = part if survivors is None else survivors.unionByName(part)
@@ -79,8 +92,8 @@ def greedy_survivors(
 
 def _answer(rows: DataFrame, low: int, survivors: DataFrame | None) -> DataFrame:
     """(id, kept) of all rows from (id, kept) of those that survive."""
-    if survivors is None:  # no usable vector at all
-        return rows.select((F.col("id") + low).alias("id"), F.lit(True).alias("kept"))
+    if survivors is None:
+        survivors = rows.sparkSession.createDataFrame([], "id long, kept boolean")
     return rows.join(survivors, "id", "left").select(
         (F.col("id") + low).alias("id"), (F.coalesce("kept", F.lit(False)) | ~F.col("pointed")).alias("kept"))
 
@@ -125,8 +138,8 @@ def _settle_small(waiting: DataFrame, kept: list[DataFrame], threshold: float) -
                     rows = at + np.flatnonzero(now[at:at + ORDER_BLOCK] == WAITING)
                     mine, before = shared.value[rows], np.flatnonzero(now[:at] != REMOVED)
                     gone, waits = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
-                    for first in range(0, len(before), 8192):
-                        some = before[first:first + 8192]
+                    for first in range(0, len(before), 2048):
+                        some = before[first:first + 2048]
                         near = mine @ shared.value[some].T >= threshold
                         gone |= near[:, now[some] == KEPT].any(axis=1)
                         waits |= near[:, now[some] == WAITING].any(axis=1)
@@ -145,6 +158,35 @@ def _settle_small(waiting: DataFrame, kept: list[DataFrame], threshold: float) -
     return spark.createDataFrame([(i,) for i in survivors], "id long").withColumn("kept", F.lit(True))
 
 
+def _settle_ahead(waiting: DataFrame, threshold: float, ahead: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows left, survivors so far): the first ``ahead`` rows settled, while that at least halves the rows."""
+    done, left = None, waiting.count()
+    while left:
+        bound = waiting.select("id").orderBy("id").limit(ahead).agg(F.max("id")).first()[0]
+        first = waiting.where(F.col("id") <= bound)
+        settled = cut(_settle_small(first, [], threshold))
+        done = settled if done is None else done.unionByName(settled)
+        leaders = first.join(F.broadcast(settled.select("id")), "id", "left_semi").toArrow()  # at most ``ahead``
+        waiting = cut(_far_from(waiting.where(F.col("id") > bound), leaders, threshold))
+        before, left = left, waiting.count()
+        if 2 * left > before and left > ahead:
+            break
+    return waiting, done
+
+
+def _far_from(rows: DataFrame, leaders: pa.Table, threshold: float) -> DataFrame:
+    """``rows`` that are not near any of the ``leaders``, a table that fits in every task."""
+    shared = rows.sparkSession.sparkContext.broadcast(sim.to_matrix(leaders["vec"]))
+    step = max(1, sim.STEP_VALUES // max(leaders.num_rows, 1))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sim.slices(batches, step):
+            near = (sim.to_matrix(batch["vec"]) @ shared.value.T >= threshold).any(axis=1)
+            yield batch.filter(pa.array(~near))
+
+    return rows.mapInArrow(sift, rows.schema)
+
+
 def _with_home(placed: DataFrame, block_rows: int) -> DataFrame:
     """Add ``home``, the block of a row: a part of its cell of about ``block_rows`` rows."""
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))

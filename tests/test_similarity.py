@@ -124,3 +124,44 @@ def test_two_stages_and_split(spark):
     unique, removed = dedup.split_duplicates(df, found, "pos")
     assert {r.pos for r in unique.collect()} == kept
     assert {r.pos for r in removed.collect()} == set(range(100)) - kept
+
+
+def test_rows_are_settled_ahead_while_that_halves_them(spark):
+    x = clustered(400, seed=8)
+    got = greedy_survivors(frame(spark, x), 0.8, ahead_values=12 * 40, cells=6).where("kept").collect()
+    assert sorted(r.id for r in got) == sequential(x, 0.8)
+    old, new = x[:120], x[120:]
+    got = greedy_survivors(frame(spark, new), 0.8, existing=frame(spark, old), ahead_values=12 * 40, cells=6)
+    assert sorted(r.id for r in got.where("kept").collect()) == sequential(new, 0.8, old)
+    loners = np.eye(90)  # nothing is near: the rest goes on in blocks
+    got = greedy_survivors(frame(spark, loners), 0.5, ahead_values=90 * 10, cells=4).where("kept").count()
+    assert got == 90
+
+
+def test_a_query_goes_once_to_a_bundle_of_cells(spark):
+    x = np.random.default_rng(9).normal(size=(300, 12))  # every query must see every cell
+    placed = similarity.numbered_vectors(frame(spark, x), "id", "vec")
+    placed = similarity.unit_vectors(placed).drop("key")
+    pivots = similarity.pick_pivots(placed, 30)
+    placed = similarity.place(placed, pivots)
+    stats = similarity.cell_stats(placed, 30)
+    bundles = similarity.bundle_cells(stats, 100)
+    assert np.bincount(bundles, stats.rows).max() <= 100
+    asked = similarity.probe(placed.selectExpr("*", "3.2D as reach"), pivots, stats, bundles, "reach")
+    assert {len(r.visits) for r in asked.collect()} == {bundles[-1] + 1} and bundles[-1] < 6
+
+
+def test_products_are_made_in_steps(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    many, few = (similarity.from_matrix(unit(rng.normal(size=(n, 8)))) for n in (50_000, 1_500))
+    candidates = pa.table({"id": np.arange(50_000), "vec": many})
+    queries = pa.table({"id": np.arange(1_500) + 50_000, "vec": few})
+    for task in ({"mode": "nearest", "k": 5}, {"mode": "earlier", "threshold": 0.9}):
+        tracemalloc.start()
+        similarity._best(task, queries, candidates)
+        assert tracemalloc.get_traced_memory()[1] < 150 << 20
+        tracemalloc.stop()
