@@ -41,7 +41,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     language, whether it is in any.
     """
     learn = F.col("doc_id").isNotNull()
-    model, most = ppm.fit(docs, learn), ppm.limits(docs, learn)
+    model, most = ppm.fit_with_limits(docs, learn)
     lang, score, fits = _free(docs, "found_lang"), _free(docs, "found_score"), _free(docs, "found_fits")
     return (ppm.predict_fitting(docs, model, most, docs.columns, lang, score, fits)
             .where((F.col(lang) != ppm.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE) & F.col(fits))

@@ -6,8 +6,8 @@ the escapes from the longer ones (escape method C: a context seen T times before
 escapes with D / (T + D)); at the end stands one of 256 bytes. A text is of the language that codes
 it in the fewest bits; its score is that language's share when all are weighed by 2**-bits.
 
-Counting uses at most ``max_rows`` texts of each language, taken in the order of a hash of the id.
-Scoring reads every text whole. ASCII letters are read in lower case.
+Counting reads every text that may be learnt from, and scoring every text, whole. Tasks add up the
+windows of four bytes that they read, so a tree grows with the different windows of its language. ASCII letters are read in lower case.
 
 A share tells languages apart, not whether the text is in one at all. For that, ``limits`` codes texts
 with trees that have not counted them, and their first 4, 16, 64, ... bytes, and takes the spread of the bits a
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.llm.arrays import LOWER, KeyIndex, byte_slices, in_fold, scored, text_sums
+from parley.llm.arrays import LOWER, KeyIndex, byte_slices, scored, text_sums
 from parley.session import cut
 
 MAX_ROWS = 2_000
@@ -62,16 +62,39 @@ def _windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, key, n, kept``, summed over what the task has read since it last gave some out."""
+    place: dict[str, int] = {}
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+    def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        of = (keys >> np.uint64(33)).astype(np.int64)
+        aside = (keys >> np.uint64(32)) & np.uint64(1) == 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(place), pa.string()).take(pa.array(of)),
+             pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n), pa.array(np.where(aside, 0, n))],
+            names=["lang", "key", "n", "kept"])
+
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
+        of = np.array([place.setdefault(name, len(place)) for name in batch.column(0).to_pylist()], np.uint64)
+        group = of << np.uint64(33) | batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(32)
         for first, end, data, offsets in byte_slices(batch.column(1)):
-            windows = _windows(data, offsets)
-            here = np.repeat(langs[first:end], np.diff(offsets))
-            for lang in sorted(set(langs[first:end])):
-                keys, n = np.unique(windows[here == lang], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)),
-                     pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
+            found = np.unique(_windows(data, offsets) | np.repeat(group[first:end], np.diff(offsets)),
+                              return_counts=True)
+            held.append(found)
+            size += len(found[0])
+            if size > 2_000_000:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > 1_500_000:
+                    yield out(*held[0])
+                    held, size = [], 0
+    if held:
+        yield out(*merged())
 
 
 @dataclass
@@ -128,19 +151,17 @@ def length_class(sizes: np.ndarray) -> np.ndarray:
     return np.maximum(np.searchsorted(powers, sizes, "right") - 1, 0)
 
 
-def limits(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> dict[str, np.ndarray]:
+def limits(docs: DataFrame, learn: Column, model: Model) -> dict[str, np.ndarray]:
     """Most bits a byte that a text of each language may take, by length class.
 
-    A quarter of the distinct texts, by id, is coded with trees counted on the others.
+    ``model`` has counted no text that stands aside; those are coded with it, equal ones count once.
     """
-    drawn = cut(sample(docs, learn, max_rows, ["doc_id"]).groupBy("lang", "text").agg(F.min("doc_id").alias("doc_id")))
-    held = in_fold(F.col("doc_id"), 4, 0)
-    model = fit(drawn, ~held, max_rows)
+    held = _known(docs, learn).where("aside").withColumn("text_hash", F.xxhash64("text"))
     place = {name: i for i, name in enumerate(model.langs)}
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            langs, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for first, end, data, offsets in byte_slices(batch.column(1)):
                 good = has_letter(data, offsets)
                 for i in range(end - first):
@@ -152,11 +173,16 @@ def limits(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> dict[str
                     bits = model.bits(np.concatenate([text[:e] for e in ends]), starts)[:, place[lang]] / ends
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(ends), pa.string()), pa.array(np.arange(len(ends))),
-                         pa.array(bits.astype(np.float64))], names=["lang", "length", "rate"])
-
-    spread = (drawn.where(held).select("lang", "text").mapInArrow(rates, "lang string, length long, rate double")
-              .groupBy("lang", "length").agg(F.count("*").alias("n"),
-                                             F.percentile("rate", F.array(*map(F.lit, (0.5, 0.75, 0.9)))).alias("q"))
+                         pa.array(bits.astype(np.float64)), pa.array([hashes[first + i]] * len(ends), pa.int64())],
+                        names=["lang", "length", "rate", "text_hash"])
+
+    # rates are told apart to a ten-thousandth of a bit, so no group holds a rate for each text
+    quarters = F.array(*map(F.lit, (0.5, 0.75, 0.9)))
+    spread = (held.select("lang", "text", "text_hash")
+              .mapInArrow(rates, "lang string, length long, rate double, text_hash long")
+              .groupBy("lang", "length", "text_hash").agg(F.round(F.min("rate"), 4).alias("rate"))
+              .groupBy("lang", "length", "rate").agg(F.count("*").alias("n"))
+              .groupBy("lang", "length").agg(F.sum("n").alias("n"), F.percentile("rate", quarters, F.col("n")).alias("q"))
               .collect())  # LENGTHS rows a language
     out: dict[str, np.ndarray] = {}
     for r in sorted(spread, key=lambda r: (r.lang, r.length)):
@@ -189,14 +215,39 @@ def sample(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS, more: list[
             .join(F.broadcast(drawn), ["doc_id", "lang"]).select("lang", "text", *more))
 
 
-def fit(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> Model:
+def _known(docs: DataFrame, learn: Column) -> DataFrame:
+    """``lang, text, aside`` of all rows to learn from; a quarter of the texts, by hash, stands aside for limits."""
+    return docs.where("lang is not null and text is not null").where(learn).select(
+        "lang", "text", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("aside"))
+
+
+def _windows_of(docs: DataFrame, learn: Column) -> DataFrame:
+    """``lang, key, n, kept``: how often each window occurs in all texts, and in those not standing aside."""
+    return (_known(docs, learn).mapInArrow(_count, "lang string, key long, n long, kept long")
+            .groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")))
+
+
+def fit(docs: DataFrame, learn: Column) -> Model:
     """``learn`` tells from ``doc_id`` whether a row may be learnt from."""
-    table = (sample(docs, learn, max_rows).mapInArrow(_count, "lang string, key long, n long")
-             .groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow())
-    langs = np.array(table.column("lang").to_pylist(), object)
+    return _model(_windows_of(docs, learn).select("lang", "key", "n").toArrow())
+
+
+def fit_with_limits(docs: DataFrame, learn: Column) -> tuple[Model, dict[str, np.ndarray]]:
+    """The model of all texts to learn from, and the limits that those standing aside show."""
+    counted = cut(_windows_of(docs, learn))
+    part = _model(counted.where("kept > 0").select("lang", "key", F.col("kept").alias("n")).toArrow())
+    most = limits(docs, learn, part)
+    return _model(counted.select("lang", "key", "n").toArrow()), most
+
+
+def _model(table: pa.Table) -> Model:
+    coded = pa.chunked_array(table.column("lang"), pa.string()).dictionary_encode().combine_chunks()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = pa.array([], pa.string()).dictionary_encode()
+    listed, langs = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     keys = table.column("key").to_numpy().astype(np.uint64)
     n = table.column("n").to_numpy().astype(np.float64)
-    names = sorted(set(langs))
+    names = sorted(listed)
     four = np.unique(keys)
     three = np.unique(np.concatenate([four >> np.uint64(8), four & np.uint64(0xFFFFFF)]))
     sizes = len(names)
@@ -204,7 +255,7 @@ def fit(docs: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> Model:
     three_bits, three_escape = np.zeros((2, len(three), sizes), np.float32)
     two_bits, two_escape = np.zeros((2, 1 << 16, sizes), np.float32)
     for i, name in enumerate(names):
-        own = langs == name
+        own = langs == listed.index(name)
         below = np.full(1, 8.0)  # bits of a byte in no context at all
         for order in range(4):
             mask = np.uint64((1 << 8 * (order + 1)) - 1)

@@ -329,6 +329,19 @@ def test_language_stage_rejects_foreign_text_and_noise(spark):
     assert set(kept) == {r[0] for r in rows} - {900, 901, 902} and len(kept) == len(rows) - 3
 
 
+def test_language_is_learnt_from_all_texts(spark):
+    """One text among thousands of its language is counted, too."""
+    rows = [(i, "water under paper", "aa") for i in range(6000)] + [(i, f"word number {i}", "bb") for i in range(6000, 12000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, most = ppm.fit_with_limits(docs, F.lit(True))
+    table = ppm._windows_of(docs, F.lit(True)).groupBy("lang").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept")).collect()
+    assert {r.lang: r.n for r in table} == {"aa": 6000 * 17, "bb": sum(len(t) for _, t, lang in rows if lang == "bb")}
+    assert all(r.kept <= r.n for r in table)
+    for number in (6000, 9876, 11999):  # whose last window no other text has
+        assert model.four.find(np.array([int.from_bytes(str(number)[-4:].encode(), "big")], np.uint64))[0] >= 0
+    assert model.langs == ["aa", "bb"] and np.isfinite(most["bb"]).any()
+
+
 def test_code_lengths_are_those_of_the_trees(spark):
     """Bits of one text by walking the contexts byte by byte."""
     train, text = "abracadabra abra", "abrab zz"
@@ -460,6 +473,18 @@ def test_page_text(spark):
     assert host_suffix.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_groups_of_a_host_follow_from_its_own_pages(spark, monkeypatch):
+    monkeypatch.setattr(host_suffix, "MOST_LISTED", 10, raising=False)
+    passage = "<p>this long passage stands on very many of the pages that this host has</p>"
+    mine = [(i, f"http://a.b/{i}", f"<p>only page {i}</p>" + passage) for i in range(7)]
+    others = [(100 + i, f"http://h{i}.d/", f"<p>page of host {i}</p>") for i in range(300)]
+    texts = []
+    for given in (mine, mine + others):
+        pages = spark.createDataFrame(given, "page_id long, url string, html string")
+        texts.append({r.page_id: r.text for r in host_suffix.extract(pages, 8).collect() if r.page_id < 100})
+    assert texts[0] == texts[1]
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/1", "<p>é</p>"), (5, "http://a/5", "<p>é</p>"), (3, None, None), (4, "u", ""), (7, "u\r\nX: y", "WARC/1.1\r\n\r\nx")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
