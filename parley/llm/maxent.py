@@ -120,14 +120,18 @@ class Model:
         return first, second
 
     @staticmethod
-    def _softmax(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        z = weights[rows[0]] + bias
+    def _likely(weights: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Softmax by place before its division, and what to divide by.
+
+        The largest is found over columns and sums are products with ones: a row is too short to reduce alone.
+        """
+        z = weights.take(rows[0], axis=0)
+        z += bias
         for r in rows[1:]:
-            z += weights[r]
-        z -= z.max(axis=1, keepdims=True)
+            z += weights.take(r, axis=0)
+        z -= np.ascontiguousarray(z.T).max(axis=0)[:, None]
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+        return z, z @ np.ones(z.shape[1], z.dtype)
 
     def probabilities(self, context: np.ndarray, aim: np.ndarray) -> np.ndarray:
         """Probability of each place's bucket."""
@@ -137,8 +141,10 @@ class Model:
             cls, word = aim[a:b] // PER_CLASS, aim[a:b] % PER_CLASS
             first, second = self.rows(context[:, a:b], cls)
             at = np.arange(b - a)
-            out[a:b] = (self._softmax(self.class_weights, first, self.class_bias)[at, cls].astype(np.float64)
-                        * self._softmax(self.word_weights, second, self.word_bias[cls])[at, word])
+            z, whole = self._likely(self.class_weights, first, self.class_bias)
+            out[a:b] = z[at, cls].astype(np.float64) / whole
+            z, whole = self._likely(self.word_weights, second, self.word_bias.take(cls, axis=0))
+            out[a:b] *= z[at, word].astype(np.float64) / whole
         return out
 
     def learn(self, context: np.ndarray, aim: np.ndarray, sizes: list[np.ndarray]) -> None:
@@ -150,15 +156,16 @@ class Model:
             at = np.arange(b - a)
             for weights, rows, bias, hit, size in (
                     (self.class_weights, first, self.class_bias, cls, sizes[0]),
-                    (self.word_weights, second, self.word_bias[cls], word, sizes[1])):
-                miss = self._softmax(weights, rows, bias)
+                    (self.word_weights, second, self.word_bias.take(cls, axis=0), word, sizes[1])):
+                miss, whole = self._likely(weights, rows, bias)
+                miss /= whole[:, None]
                 miss[at, hit] -= 1
                 for r in rows:
                     order = np.argsort(r.astype(np.uint16) if len(weights) <= 1 << 16 else r, kind="stable")
                     ordered = r[order]
                     starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-                    used, g = ordered[starts], np.add.reduceat(miss[order], starts, axis=0)
-                    size[used] += (g * g).mean(axis=1)
+                    used, g = ordered[starts], np.add.reduceat(miss.take(order, axis=0), starts, axis=0)
+                    size[used] += np.einsum("ij,ij->i", g, g) / g.shape[1]
                     weights[used] -= RATE * g / np.sqrt(size[used] + 1)[:, None]
 
 

@@ -297,6 +297,34 @@ def test_lm_probabilities_sum_to_one():
     assert model.probabilities(context, np.arange(256)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_steps_are_those_of_plain_softmax():
+    rng = np.random.default_rng(3)
+    hashes = maxent.mix(rng.integers(0, 400, 5000).astype(np.uint64))
+    at = np.array([0, 1200, 1201, 5000])
+    aim, context = maxent.bucket(hashes), maxent.contexts(hashes, at)
+    model = maxent.start(np.bincount(aim, minlength=256).astype(float))
+    plain = maxent.start(np.bincount(aim, minlength=256).astype(float))
+    sizes = [np.zeros(len(w), np.float32) for w in (model.class_weights, model.word_weights)]
+    model.learn(context, aim, sizes)
+    cls, word = aim // 16, aim % 16
+    first, second = plain.rows(context, cls)
+    chance = np.ones(len(aim))
+    for weights, learnt, rows, bias, hit in ((plain.class_weights, model.class_weights, first, plain.class_bias[None], cls),
+                                             (plain.word_weights, model.word_weights, second, plain.word_bias[cls], word)):
+        share = np.exp(np.broadcast_to(bias, (len(aim), 16)).astype(np.float64))
+        share /= share.sum(axis=1, keepdims=True)
+        miss = share.copy()
+        miss[np.arange(len(aim)), hit] -= 1
+        for r in rows:
+            g = np.zeros(weights.shape)
+            np.add.at(g, r, miss)
+            weights -= maxent.RATE * g / np.sqrt((g * g).mean(axis=1) + 1)[:, None]
+        assert np.allclose(learnt, weights, atol=1e-4)
+        z = sum(weights[r].astype(np.float64) for r in rows) + bias
+        chance *= (np.exp(z) / np.exp(z).sum(axis=1, keepdims=True))[np.arange(len(aim)), hit]
+    assert np.allclose(model.probabilities(context, aim), chance, rtol=1e-3)
+
+
 def test_language(spark, empty):
     rng = random.Random(4)
     words = {"aa": ["the", "and", "thing"], "bb": ["der", "über", "nicht"]}
