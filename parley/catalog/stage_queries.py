@@ -69,7 +69,7 @@ def lines_written_and_read(spark, sf_dir):
 def array_written_and_read(spark, sf_dir):
     """Arrays cut into chunks that end anywhere, with typed columns beside the whole records."""
     path = scratch_path(spark, "arrays")
-    json_array.write(whole_records(spark, sf_dir).coalesce(2), path)
+    json_array.write(whole_records(spark, sf_dir), path)
     rows = readers.read_array(spark, path, record="record", chunk=20_000)
     return rows.select("dialogue_id", (F.col("num_lines") > 2).alias("long"), "record")
 
@@ -122,7 +122,8 @@ def seeds_from_file(spark, sf_dir):
 def personas_from_files(spark, sf_dir):
     path = scratch_path(spark, "personas")
     docs = table(spark, sf_dir, "documents")
-    (docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(
+    parts = max(5, docs.count() // 50_000)  # so no task reads more when there are more rows
+    (docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select(
         F.col("source").alias("cluster_label"), F.col("lang").alias("summary_label"), F.col("text").alias("persona"))
      .write.parquet(path))
     return readers.read_personas(spark, path)

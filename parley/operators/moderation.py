@@ -27,14 +27,16 @@ def by_lexicon(texts: DataFrame, key: str, column: str, terms: dict[str, list[st
 
     ``terms`` is a short caller-supplied list per category; a score above ``least`` flags.
     """
-    tokens = words(F.col(column))
+    # a column of its own, so that a text is cut into words once and not for each use
+    texts = texts.select(F.col(key).alias("dialogue_id"), words(F.col(column)).alias("_words"))
+    tokens = F.col("_words")
 
     def hits(listed: list[str]):
         return F.size(F.filter(tokens, lambda w: w.isin(listed)))
 
     share = {name: hits(listed) / F.greatest(F.size(tokens), F.lit(1))
              for name, listed in terms.items()}
-    scored = texts.select(F.col(key).alias("dialogue_id"), F.create_map(*[
+    scored = texts.select("dialogue_id", F.create_map(*[
         x for name, value in share.items() for x in (F.lit(name), value)]).alias("category_scores"))
     scored = scored.withColumn(
         "categories", F.transform_values("category_scores", lambda k, v: v > least))

@@ -4,7 +4,7 @@ A file is cut into chunks of equal size. Where a chunk begins, nothing tells whe
 text or how deep, so a first pass lets every chunk report both cases: what it does to the depth when
 it begins inside a text and when outside, and how many quotes it holds. The reports, one row a chunk,
 are put together in order, and a second pass reads each chunk with the state it really begins in. A
-record belongs to the chunk it begins in, whose task reads on to its end.
+record belongs to the chunk it begins in, whose task reads on to its end. Small chunks share a task.
 
 Between records nothing but commas may stand; what breaks that rule fails with its place in the file.
 """
@@ -12,8 +12,9 @@ Between records nothing but commas may stand; what breaks that rule fails with i
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from parley.sources import files
 
 CHUNK = 32 << 20
+TASKS = 64  # at least so many where there are as many chunks
 ROWS = "file string, place long, value string"
 QUOTE, SLASH, COMMA = b'"\\,'
 OPEN, CLOSE, BEGIN, END = b"[]{}"
@@ -138,12 +140,8 @@ def _tokens(path: str, data: np.ndarray, begin: int, slashes: int, inside: bool,
 
 
 @dataclass
-class _Chunk(InputPartition):
-    path: str
-    begin: int
-    end: int
-    inside: bool
-    depth: int
+class _Chunks(InputPartition):
+    chunks: list[list]  # [path, begin, end, inside, depth]
 
 
 class JsonArraySource(DataSource):
@@ -168,11 +166,25 @@ class _Reader(DataSourceReader):
         self.chunks = chunks
 
     def partitions(self) -> list[InputPartition]:
-        return [_Chunk(*c) for c in self.chunks]
+        return [_Chunks(part) for part in _dealt(self.chunks, lambda c: c[2] - c[1])]
 
-    def read(self, part: _Chunk) -> Iterator[tuple]:
-        for place, value in records_of(part.path, part.begin, part.end, part.inside, part.depth):
-            yield part.path, place, value
+    def read(self, part: _Chunks) -> Iterator[tuple]:
+        for path, *where in part.chunks:
+            for place, value in records_of(path, *where):
+                yield path, place, value
+
+
+def _dealt(chunks: list, size: Callable[[Any], int]) -> list[list]:
+    """Consecutive chunks put together up to a ``TASKS``-th of all bytes, ``CHUNK`` at most."""
+    most = min(CHUNK, sum(map(size, chunks)) // TASKS)
+    out, held = [], 0
+    for chunk in chunks:
+        if not out or held + size(chunk) > most:
+            out.append([])
+            held = 0
+        out[-1].append(chunk)
+        held += size(chunk)
+    return out
 
 
 class _Writer(DataSourceArrowWriter):
@@ -231,7 +243,8 @@ def plan(spark: SparkSession, path: str, chunk: int = CHUNK) -> list[list]:
                 yield pa.RecordBatch.from_pylist([{**row, "quotes": q, "outside": out, "inside": within}])
 
     schema = "number long, path string, begin long, end long"
-    found = (spark.createDataFrame(cuts, schema).repartition(len(cuts))
+    tasks = len(_dealt(cuts, lambda c: c[3] - c[2]))
+    found = (spark.createDataFrame(cuts, schema).repartition(tasks)
              .mapInArrow(run, schema + ", quotes long, outside long, inside long").collect())
     chunks, state = [], {}
     for r in sorted(found, key=lambda r: (r.number, r.begin)):
