@@ -14,12 +14,21 @@ from parley.operators import similarity
 from parley.operators.dedup import append_unique
 from parley.session import cut
 
+MOST_BATCHES = 4  # batches that the files of a folder make when a run begins, at most
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_drops(spark: SparkSession, folder: str, schema: T.StructType, files: int = 1) -> DataFrame:
-    """Files of a folder as a stream, ``files`` of them per batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
+def read_drops(spark: SparkSession, folder: str, schema: T.StructType, files: int = 1,
+               most_batches: int = MOST_BATCHES) -> DataFrame:
+    """Files of a folder as a stream, ``files`` of them per batch.
+
+    Every batch runs a task for each partition of the state, and each reports to the driver. Where
+    the files at hand would make more than ``most_batches`` batches, a batch takes more of them, so
+    tasks and reports do not grow with files times partitions.
+    """
+    waiting = len(spark.read.schema(schema).json(folder).inputFiles())
+    per_batch = max(files, math.ceil(waiting / most_batches))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(folder)
 
 
 def run_unique(drops: DataFrame, key: str, target: str, checkpoint: str) -> None:

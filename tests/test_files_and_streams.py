@@ -1,6 +1,7 @@
 """Readers, writers, stages and streams on small files."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -180,3 +181,13 @@ def test_streamed_keys_are_unique_across_drops(spark, folder):
         writers.append_lines(rows, f"{folder}/drops")
         ingest.run_unique(ingest.read_drops(spark, f"{folder}/drops", rows.schema), "hash", f"{folder}/out", f"{folder}/m")
     assert spark.read.json(f"{folder}/out").count() == 2
+
+
+def test_many_drops_make_few_batches(spark, folder):
+    rows = spark.range(40).selectExpr("id", "string(id % 15) as hash")
+    writers.append_batches(rows.repartition(2, "id"), f"{folder}/drops", rows=2)
+    drops = [f for f in os.listdir(f"{folder}/drops") if f.endswith(".json")]
+    ingest.run_unique(ingest.read_drops(spark, f"{folder}/drops", rows.schema), "hash", f"{folder}/out", f"{folder}/m")
+    assert sorted(int(r.hash) for r in spark.read.schema(rows.schema).json(f"{folder}/out").collect()) == list(range(15))
+    batches = [f for f in os.listdir(f"{folder}/m/commits") if f.isdigit()]
+    assert 1 < len(batches) <= ingest.MOST_BATCHES < len(drops)
