@@ -10,7 +10,8 @@ bundle with a cell it must visit, so its copies grow with the blocks of the tabl
 Candidates and queries of a bundle are cut into blocks of bounded size that meet pairwise in
 separate tasks. A task emits, per query, its best few candidates and never the pairs it looked at.
 A candidate side that is counted to fit is sent to every task whole, with no shuffle. Products of
-blocks are made in steps of bounded size, whatever the sides.
+blocks are made in steps of bounded size, whatever the sides; for the nearest rows they are sifted in
+single precision, with room for its rounding, and what passes is computed in double.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from parley.session import cut
 BLOCK_ROWS = 4096  # rows of one side in one block, at least
 BLOCK_VALUES = 2_000_000  # values of one side in one block (16 MB as doubles)
 STEP_VALUES = 2_000_000  # similarities that a task holds at once
+TILE_ROWS, TILE_COLUMNS = 1024, 2048  # similarities that are sifted in single precision at once
 SMALL_VALUES = 8_000_000  # values of a matrix that may go to every task (64 MB as doubles)
 SLACK = 1e-7  # radians; covers rounding in the angle bounds
 HIT_SCHEMA = "id long, nbr long, sim double, firm boolean"
@@ -227,6 +229,57 @@ def probe(queries: DataFrame, pivots: Pivots, stats: CellStats, bundles: np.ndar
     return queries.mapInArrow(visit, schema)
 
 
+def _first_of_each(rows: np.ndarray, cols: np.ndarray, sims: np.ndarray, cid: np.ndarray, k: int) -> tuple:
+    """The k best pairs of each row, in order; ties by the candidate's id."""
+    # rounding makes equal similarities equal, so that the id decides
+    rank = np.lexsort((cid[cols], -np.round(sims, 12), rows))
+    rows, cols, sims = rows[rank], cols[rank], sims[rank]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], cols[keep], sims[keep]
+
+
+def _products(qvec: np.ndarray, cvec: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    step = max(1, STEP_VALUES // max(qvec.shape[1], 1))
+    return np.concatenate([np.zeros(0), *[
+        np.einsum("ij,ij->i", qvec[rows[at:at + step]], cvec[cols[at:at + step]]) for at in range(0, len(rows), step)]])
+
+
+def _nearest(qid: np.ndarray, qvec: np.ndarray, cid: np.ndarray, cvec: np.ndarray, floor: np.ndarray, k: int) -> tuple:
+    """Rows, columns and similarities of the k most similar others of each query, none below its floor."""
+    slack = (cvec.shape[1] + 8) * 2.0 ** -23  # over the rounding of a product of unit vectors in single precision
+    rough_q, rough_c = qvec.astype("float32"), cvec.astype("float32")
+    width = min(len(cid), max(k + 1, min(len(cid) // 16, TILE_COLUMNS)))
+    found = []
+    for at in range(0, len(qid), TILE_ROWS):
+        ids, tile = qid[at:at + TILE_ROWS], slice(at, at + TILE_ROWS)
+        least = floor[tile] - 2e-12
+        if (least < -1).any():  # no bound yet
+            # the k-th best of a part lies no higher than that of all, and few others reach it
+            part = qvec[tile] @ cvec[:width].T
+            part[(ids[:, None] == cid[None, :width]) | ~np.isfinite(part)] = -np.inf
+            kth = min(k, width) - 1
+            least = np.maximum(least, -np.partition(-part, kth, axis=1)[:, kth] - 2e-12)
+        held = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
+        for first in range(0, len(cid), TILE_COLUMNS):
+            rough = rough_q[tile] @ rough_c[first:first + TILE_COLUMNS].T
+            rows, cols = np.divmod(np.flatnonzero(rough >= (least - slack).astype("float32")[:, None]), rough.shape[1])
+            cols += first
+            other = ids[rows] != cid[cols]
+            rows, cols = rows[other], cols[other]
+            sims = _products(qvec[tile], cvec, rows, cols)
+            good = sims >= least[rows]
+            held = tuple(np.r_[a, b[good]] for a, b in zip(held, (rows, cols, sims)))
+            if len(held[0]) * 8 > STEP_VALUES:
+                held = _first_of_each(*held, cid, k)
+                last = np.flatnonzero(np.r_[held[0][1:] != held[0][:-1], True])
+                full = np.bincount(held[0], minlength=len(ids))[held[0][last]] == k
+                last = last[full]
+                least[held[0][last]] = np.maximum(least[held[0][last]], held[2][last] - 2e-12)
+        rows, cols, sims = _first_of_each(*held, cid, k)
+        found.append((rows + at, cols, sims))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
     """Hits of the queries ``q`` among the candidates ``c``.
 
@@ -253,6 +306,10 @@ def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
         cell = c["cell"].to_numpy()[order]
         bits = np.frombuffer(b"".join(q["bits"].to_pylist()), np.uint8).reshape(len(qid), -1)
     floor = q["floor"].to_numpy() if "floor" in q.schema.names else np.full(len(qid), -np.inf)
+    if task["mode"] == "nearest" and bits is None and len(qid) and len(cid):
+        rows, cols, sims = _nearest(qid, qvec, cid, cvec, floor, task["k"])
+        firm = settled[cols] if settled is not None else np.zeros(len(cols), bool)
+        return pa.table([qid[rows], cid[cols], sims, firm], names=["id", "nbr", "sim", "firm"])
     out_q, out_n, out_s, out_f = [], [], [], []
     step = max(1, STEP_VALUES // max(len(cid), 1))
     for at in range(0, len(qid), step):
@@ -260,23 +317,16 @@ def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
         sims = qvec[at:at + step] @ cvec.T
         if task["mode"] == "nearest":
             sims[ids[:, None] == cid[None, :]] = -np.inf
-            if bits is not None:
-                unseen = np.unpackbits(bits[at:at + step], axis=1) == 0
-                if unseen.any():
-                    sims[unseen[:, cell]] = -np.inf
+            unseen = np.unpackbits(bits[at:at + step], axis=1) == 0
+            if unseen.any():
+                sims[unseen[:, cell]] = -np.inf
             k = min(task["k"], sims.shape[1])
             # the k-th best of a part lies no higher than that of all, and few others reach it
             part = sims[:, :max(k + 1, sims.shape[1] // 16)]
             edge = -np.partition(-part, k - 1, axis=1)[:, k - 1]
             least = np.maximum(edge, floor[at:at + step]) - 2e-12
             rows, cols = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
-            # rounding makes equal similarities equal, so that the id decides
-            keyed = np.round(sims[rows, cols], 12)
-            rank = np.lexsort((cid[cols], -keyed, rows))
-            rows, cols = rows[rank], cols[rank]
-            first = np.searchsorted(rows, rows, side="left")
-            keep = np.arange(len(rows)) - first < k
-            rows, cols = rows[keep], cols[keep]
+            rows, cols, _ = _first_of_each(rows, cols, sims[rows, cols], cid, k)
         else:
             hit = (sims >= task["threshold"]) & (cid[None, :] < ids[:, None])
             if homes is not None:

@@ -165,3 +165,36 @@ def test_products_are_made_in_steps(spark):
         similarity._best(task, queries, candidates)
         assert tracemalloc.get_traced_memory()[1] < 150 << 20
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("rising", [False, True])
+def test_few_products_of_the_nearest_are_made_in_double(monkeypatch, rising):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x = unit(rng.normal(size=(3000, 16)))
+    x[40:60] = x[40] + rng.normal(size=(20, 16)) * 1e-9  # single precision can't tell these apart
+    x = unit(x)
+    q = np.arange(0, 3000, 7)
+    if rising:  # every later row is nearer, so no early bound holds
+        q = q[:1]
+        x = x[np.argsort(x @ x[0])]
+        q[0] = 2999
+    made = []
+    products = similarity._products
+    monkeypatch.setattr(similarity, "_products", lambda *a: made.append(len(a[2])) or products(*a))
+    monkeypatch.setattr(similarity, "STEP_VALUES", 4000)
+    ids = np.arange(3000) * 3
+    table = pa.table({"id": ids, "vec": similarity.from_matrix(x)})
+    for floor in (None, 0.5):
+        asked = table.take(pa.array(q))
+        if floor is not None:
+            asked = asked.append_column("floor", pa.array(np.full(len(q), floor)))
+        got = similarity._best({"mode": "nearest", "k": 6}, asked, table)
+        s = np.round(x[q] @ x.T, 12)
+        s[np.arange(len(q)), q] = -9
+        want = {(ids[q[i]], ids[j]) for i in range(len(q)) for j in np.lexsort((ids, -s[i]))[:6]
+                if floor is None or s[i, j] >= floor}
+        assert set(zip(got["id"].to_pylist(), got["nbr"].to_pylist())) == want
+    if not rising:
+        assert sum(made) < len(q) * len(x) / 10
