@@ -9,7 +9,9 @@ Cells that follow each other are bundled up to the size of a block, and a query
 bundle with a cell it must visit, so its copies grow with the blocks of the table, not with its cells.
 Candidates and queries of a bundle are cut into blocks of bounded size that meet pairwise in
 separate tasks. A task emits, per query, its best few candidates and never the pairs it looked at.
-A candidate side that is counted to fit is sent to every task whole, with no shuffle. Products of
+A candidate side that is counted to fit is sent to every task whole, with no shuffle. Of a larger one,
+where a query needs one witness only, a part goes ahead so, and only queries without a witness there go
+to the bundles. Products of
 blocks are made in steps of bounded size, whatever the sides; for the nearest rows they are sifted in
 single precision, with room for its rounding, and what passes is computed in double.
 """
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -361,6 +364,29 @@ def against_small(queries: DataFrame, candidates: pa.Table, task: dict) -> DataF
     return queries.select("id", "vec", *home).mapInArrow(scan, HIT_SCHEMA)
 
 
+def _with_witness(queries: DataFrame, candidates: pa.Table, task: dict) -> DataFrame:
+    """``queries`` with the hit of those that have one among ``candidates``, which fit in every task.
+
+    A query with a hit needs its vector no more: it is null.
+    """
+    shared = queries.sparkSession.sparkContext.broadcast(candidates.sort_by("id"))
+    home = ["home"] if "home" in queries.columns else []
+    queries = queries.select("id", "vec", *home)
+    schema = _schema_with(queries, ("nbr", T.LongType()), ("sim", T.DoubleType()), ("firm", T.BooleanType()))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hits = _best(task, pa.Table.from_batches([batch]), shared.value)
+                at = pc.index_in(batch["id"], hits["id"].combine_chunks())
+                vec = pc.if_else(at.is_null(), batch["vec"], pa.scalar(None, batch["vec"].type))
+                found = [hits[c].combine_chunks().take(at) for c in ("nbr", "sim", "firm")]
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"], vec, *[batch[c] for c in home], *found], names=schema.names)
+
+    return queries.mapInArrow(scan, schema)
+
+
 def in_blocks(queries: DataFrame, candidates: DataFrame, stats: CellStats, bundles: np.ndarray, task: dict,
               block_rows: int) -> DataFrame:
     """Search per bundle: ``queries`` have the bundles to look at in ``visits``, ``candidates`` their ``cell``.
@@ -564,6 +590,17 @@ def earlier_witness(
         return against_small(queries, candidates.toArrow(), task)
     if dimension == 0:
         return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
+    early = None
+    if probes is None and small_values and "settled" not in candidates.columns:
+        # where vectors have many near ones, a block of candidates holds a witness of nearly every query
+        parts = math.ceil(candidates.count() * dimension / min(small_values, BLOCK_VALUES))
+        some = candidates.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == 0).select("id", "vec").toArrow()
+        if some.num_rows:
+            tried = cut(_with_witness(queries, some, task))
+            early = tried.where("nbr IS NOT NULL").select("id", "nbr", "sim", "firm")
+            queries = tried.where("nbr IS NULL").drop("nbr", "sim", "firm")
+            if queries.isEmpty():
+                return early
     if pivots is None:
         pivots = pick_pivots(candidates.select("id", "vec"), cells or default_cells(candidates.count()))
     placed = candidates if "cell" in candidates.columns else place(candidates, pivots)
@@ -574,4 +611,5 @@ def earlier_witness(
     home = ["home"] if "home" in queries.columns else []
     asked = cut(probe(queries.select("id", "vec", *home).withColumn("reach", F.lit(angle)),
                       pivots, stats, bundles, "reach", probes).drop("reach"))
-    return in_blocks(asked, placed.drop("angle"), stats, bundles, task, block_rows)
+    late = in_blocks(asked, placed.drop("angle"), stats, bundles, task, block_rows)
+    return late if early is None else early.unionByName(late)

@@ -64,6 +64,28 @@ def test_near_existing(spark, search):
     assert sorted(r.id for r in got.collect()) == want
 
 
+def test_only_queries_without_a_witness_go_to_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.eye(12)[0] + rng.normal(size=(300, 12)) * 0.02
+    x[220] = x[298] = -np.eye(12)[1]  # an old row and a new one away from all others
+    x[299] = np.eye(12)[2]  # like no old row
+    sent, in_blocks = [], similarity.in_blocks
+
+    def counting(queries, *rest):
+        sent.append(queries.count())
+        return in_blocks(queries, *rest)
+
+    monkeypatch.setattr(similarity, "in_blocks", counting)
+    for old_rows, new_rows, most in ((x[:240], x[240:298], 0), (x[:240], x[240:], 2)):
+        got = similarity.near_existing(frame(spark, new_rows), frame(spark, old_rows), 0.9,
+                                       small_values=720, block_rows=20, cells=9)
+        want = np.nonzero((unit(new_rows) @ unit(old_rows).T >= 0.9).any(axis=1))[0].tolist()
+        assert sorted(r.id for r in got.collect()) == want
+        assert sum(sent) <= most
+    got = greedy_survivors(frame(spark, x[240:]), 0.9, existing=frame(spark, x[:240]), small_values=720, cells=9)
+    assert sorted(r.id for r in got.where("kept").collect()) == sequential(x[240:], 0.9, x[:240])
+
+
 @pytest.mark.parametrize("search", [{}, BLOCKS])
 def test_neighbours_equal_brute_force(spark, search):
     x = clustered(180, seed=3)
