@@ -290,8 +290,11 @@ def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
     at least as similar as that) or "earlier" (one witness at or above
     the threshold that stands before the query: settled ones first, then the smallest id). Where
     both sides have a ``home``, "earlier" looks at rows of another one only. Where queries have ``bits``,
-    they look only at the candidates whose number ``cell`` is among the bits set.
+    they look only at the candidates whose number ``cell`` is among the bits set. Without queries or
+    candidates there are no hits.
     """
+    if q.num_rows == 0 or c.num_rows == 0:
+        return NO_HITS
     qid = q["id"].to_numpy()
     cid = c["id"].to_numpy()
     cvec = to_matrix(c["vec"])
@@ -309,7 +312,7 @@ def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
         cell = c["cell"].to_numpy()[order]
         bits = np.frombuffer(b"".join(q["bits"].to_pylist()), np.uint8).reshape(len(qid), -1)
     floor = q["floor"].to_numpy() if "floor" in q.schema.names else np.full(len(qid), -np.inf)
-    if task["mode"] == "nearest" and bits is None and len(qid) and len(cid):
+    if task["mode"] == "nearest" and bits is None:
         rows, cols, sims = _nearest(qid, qvec, cid, cvec, floor, task["k"])
         firm = settled[cols] if settled is not None else np.zeros(len(cols), bool)
         return pa.table([qid[rows], cid[cols], sims, firm], names=["id", "nbr", "sim", "firm"])
@@ -344,8 +347,6 @@ def _best(task: dict, q: pa.Table, c: pa.Table) -> pa.Table:
         out_n.append(cid[cols])
         out_s.append(sims[rows, cols])
         out_f.append(settled[cols] if settled is not None else np.zeros(len(cols), bool))
-    if not out_q:
-        return NO_HITS
     return pa.table([np.concatenate(o) for o in (out_q, out_n, out_s, out_f)],
                     names=["id", "nbr", "sim", "firm"])
 
@@ -421,8 +422,6 @@ def in_blocks(queries: DataFrame, candidates: DataFrame, stats: CellStats, bundl
     keys = ["bundle", "_c", "_q"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return NO_HITS
         return _best(task, left, right)
 
     return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, HIT_SCHEMA)
@@ -586,10 +585,10 @@ def earlier_witness(
     """
     task = {"mode": "earlier", "threshold": float(threshold)}
     dimension = dimension_of(candidates)
+    if dimension == 0:  # no candidates
+        return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
     if probes is None and small_values and fits(candidates, dimension, small_values):
         return against_small(queries, candidates.toArrow(), task)
-    if dimension == 0:
-        return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
     early = None
     if probes is None and small_values and "settled" not in candidates.columns:
         # where vectors have many near ones, a block of candidates holds a witness of nearly every query

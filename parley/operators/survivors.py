@@ -54,7 +54,9 @@ def greedy_survivors(
         F.min("id").alias("id"), F.min_by("vec", "id").alias("vec")).select("id", "vec"))
     kept = []
     if existing is not None:
-        kept.append(cut(sim.unit_vectors(sim.below_zero(existing)).select("id", "vec")))
+        existing = cut(sim.unit_vectors(sim.below_zero(existing)).select("id", "vec"))
+        if not existing.isEmpty():
+            kept.append(existing)
     dimension = sim.dimension_of(waiting)
     small = min(small_values, ahead_values)
     if probes is None and sim.fits(_pool(waiting, kept), dimension, small):

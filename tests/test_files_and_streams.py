@@ -175,6 +175,20 @@ def test_streamed_vectors_read_the_cells_they_touch(spark, folder):
                 assert b._cell in a._near
 
 
+@pytest.mark.parametrize("among_new", [True, False])
+def test_a_first_drop_may_be_larger_than_fits_a_task(spark, folder, among_new):
+    x = np.eye(6)[np.arange(80) % 6] + np.random.default_rng(3).normal(size=(80, 6)) * 0.05
+    schema = "vec_id long, hash string, v array<double>"
+    for first, end in ((0, 70), (70, 80)):
+        rows = [(i, f"h{i}", x[i].tolist()) for i in range(first, end)]
+        writers.append_lines(spark.createDataFrame(rows, schema), f"{folder}/drops")
+        drops = ingest.read_drops(spark, f"{folder}/drops", spark.createDataFrame([], schema).schema, 100)
+        ingest.run_unique_vectors(drops, f"{folder}/out", f"{folder}/m", key="hash", position="vec_id", vector="v",
+                                  threshold=0.9, among_new=among_new, small_values=120)  # 20 rows fit a task
+    got = ingest.read_accepted(spark, f"{folder}/out", drops.schema)
+    assert sorted(r.vec_id for r in got.collect()) == list(range(6 if among_new else 70))
+
+
 def test_streamed_keys_are_unique_across_drops(spark, folder):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, hash string")
     for _ in range(2):

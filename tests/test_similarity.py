@@ -64,6 +64,17 @@ def test_near_existing(spark, search):
     assert sorted(r.id for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("search", [{}, BLOCKS, {"small_values": 720, "cells": 9}])  # 720: 60 rows fit a task
+@pytest.mark.parametrize("old", [[], [[0.0] * 12]])
+def test_without_existing_rows_new_ones_face_each_other_only(spark, search, old):
+    x = clustered(200, seed=4)
+    existing = spark.createDataFrame([(i, v) for i, v in enumerate(old)], "id long, vec array<double>")
+    got = greedy_survivors(frame(spark, x), 0.8, existing=existing, **search)
+    assert sorted(r.id for r in got.where("kept").collect()) == sequential(x, 0.8)
+    assert similarity.near_existing(frame(spark, x), existing, 0.8, **search).collect() == []
+    assert similarity.near_existing(existing, frame(spark, x), 0.8, **search).collect() == []
+
+
 def test_only_queries_without_a_witness_go_to_the_blocks(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = np.eye(12)[0] + rng.normal(size=(300, 12)) * 0.02
