@@ -513,6 +513,73 @@ def test_groups_of_a_host_follow_from_its_own_pages(spark, monkeypatch):
     assert texts[0] == texts[1]
 
 
+def test_texts_do_not_depend_on_the_groups_of_a_host(spark):
+    rng = random.Random(5)
+
+    def passage(n):
+        return "<p>" + " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n)) + "</p>"
+
+    def plain(block):
+        return block[3:-4]
+
+    often, seldom, quoted, everywhere = passage(12), passage(12), passage(12), passage(12)
+    rows, want = [], {}
+    for i in range(90):  # 90 pages: a fifth are 18, three fifths 54
+        own, has = passage(rng.randint(3, 20)), []
+        if i % 3:  # on no article: what 18 pages share goes
+            has += [often] * (i % 9 in (1, 2, 4)) + [seldom] * (i % 9 == 5) + [everywhere]  # 30, 10
+            want[i] = [own] + [b for b in has if b == seldom]
+            body = own + "".join(has)
+        else:  # in an article: what 54 pages share goes
+            has += [quoted] * (i % 2) + [everywhere] + [often] * (i % 9 == 3)  # 15, all, and 40 with those outside
+            want[i] = [own] + [b for b in has if b != everywhere]
+            body = f"<article>{own}{''.join(has)}</article>"
+        rows.append((i or None, f"http://Big.host/{i}", body))
+    rows += rows[:7]  # repeated rows count as one page
+    rows += [(100 + i, f"http://small{i // 3}.host/", often + passage(9)) for i in range(6)]  # 3 pages share it
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = [collections.Counter(map(tuple, host_suffix.extract(pages, g).collect())) for g in (4, 16, 1000)]
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == len(rows)
+    for page, url, text, n in found[0]:
+        if url.startswith("http://Big"):
+            assert text == "\n\n".join(map(plain, want[page or 0])) and n == len(text)
+        else:
+            assert plain(often) not in text and len(text.split()) == 9
+
+
+def test_a_host_of_more_pages_than_a_group_is_counted_whole(spark):
+    shared = "<p>these ten words stand on one in five of all</p>"
+    pages = spark.range(300).selectExpr(
+        "id as page_id", "concat('http://a.b/', id) as url",
+        f"concat('<p>', sha(string(id)), ' alone</p>', if(id % 5 = 0, '{shared}', '')) as html")
+    got = host_suffix.extract(pages).collect()
+    assert len(got) == 300 and not any("one in five" in r.text for r in got)
+
+
+def test_runs_of_a_group_against_plain_counting():
+    rng = random.Random(6)
+    pages = [[" ".join(rng.choices("ab", [9, 1], k=rng.randint(0, 14))) or "x" for _ in range(rng.randint(0, 3))] for _ in range(60)]
+    pages += [["one two three four five six seven eight nine"]] * 3
+    names = [i // 2 if i < 60 else i for i in range(63)]
+    found = collections.defaultdict(set)
+    for name, page in zip(names, pages):
+        every = " ".join(page).split()
+        for i in range(len(every) - host_suffix.RUN + 1):
+            found[tuple(every[i:i + host_suffix.RUN])].add(name)
+    laid = host_suffix.laid_out(pages)
+    begin = host_suffix.run_begins(laid)
+    hashes = host_suffix.run_hashes(laid.tokens, begin)
+    words = [w for page in pages for w in " ".join(page).split()]
+    runs = [tuple(words[b:b + host_suffix.RUN]) for b in begin]
+    assert set(runs) == set(found) and len(set(hashes.tolist())) == len(found)
+    page, total = host_suffix.numbered(names)
+    assert host_suffix.run_pages(laid, begin, page).tolist() == [len(found[r]) for r in runs] and total == 33
+    known, n = host_suffix.count_pages(pages, names, np.unique(hashes)[::2])
+    of = dict(zip(hashes.tolist(), runs))
+    assert dict(zip(known.tolist(), n.tolist())) == {h: len(found[of[h]]) for h in np.unique(hashes)[::2].tolist()}
+    assert set(host_suffix.frequent_runs(pages, names).tolist()) == {h for h, r in of.items() if len(found[r]) >= 0.2 * 33}
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/1", "<p>é</p>"), (5, "http://a/5", "<p>é</p>"), (3, None, None), (4, "u", ""), (7, "u\r\nX: y", "WARC/1.1\r\n\r\nx")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
